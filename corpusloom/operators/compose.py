@@ -134,11 +134,17 @@ def prompt(text: Column, category: Column | None = None) -> Column:
 
 
 def parse_response(body: Column) -> Column:
-    """Text blocks of a response body, joined by newlines and stripped."""
+    """Text blocks of a response body, joined by newlines and stripped.
+
+    Null if the body is not JSON or a text block has no text: such a response
+    has failed. No text block at all is an empty text.
+    """
     blocks = F.from_json(body, RESPONSE_SCHEMA)["content"]
     texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"),
                         lambda b: b["text"])
-    return stripped(F.array_join(texts, "\n"))
+    broken = (F.get_json_object(body, "$").isNull()
+              | F.coalesce(F.exists(texts, F.isnull), F.lit(False)))
+    return F.when(~broken, stripped(F.array_join(texts, "\n")))
 
 
 def with_fallback(documents: DataFrame, responses: DataFrame,
