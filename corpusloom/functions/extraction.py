@@ -39,11 +39,12 @@ def group_phrases(found: Column, dictionary: Dictionary = fixed.SKILLS
     Phrases keep the order of ``found``; a phrase of two domains stands in
     both; domains without a phrase are left out.
     """
+    def of_domain(phrases: Sequence[str]) -> Column:
+        return F.filter(found, lambda p: p.isin(list(phrases)))
+
     groups = F.array(*[
-        F.struct(
-            F.initcap(F.lit(domain.replace("_", " "))).alias("label"),
-            F.filter(found, lambda p, ps=list(phrases): p.isin(ps))
-            .alias("phrases"))
+        F.struct(F.initcap(F.lit(domain.replace("_", " "))).alias("label"),
+                 of_domain(phrases).alias("phrases"))
         for domain, phrases in dictionary.items()])
     return F.filter(groups, lambda g: F.size(g["phrases"]) > 0)
 
