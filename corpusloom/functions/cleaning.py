@@ -67,7 +67,10 @@ def fold_ascii(text: Column) -> Column:
     """Replace characters by their ASCII look-alikes, drop those without."""
     source, target, several = _fold_tables()
     wide = _char_class(several)
-    mapping = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    # one literal instead of hundreds keeps planning fast; it is folded once
+    mapping = F.str_to_map(
+        F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())),
+        F.lit("\x02"), F.lit("\x01"))
     # Ligatures, fractions and the like become several characters each; only
     # those that do occur in the row are looked up and replaced.
     spelled = F.aggregate(

@@ -22,7 +22,7 @@ def stripped(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Whitespace-separated words; no empty ones."""
     return F.regexp_extract_all(
-        filled(text), F.lit(rf"[^{fixed.SPACE}]+"), F.lit(0))
+        filled(text), F.lit(f"{fixed.NONSPACE}+"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

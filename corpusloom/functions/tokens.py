@@ -79,4 +79,4 @@ def model_tokens(text: Column) -> Column:
     """Tokens as the vectorisers see them: lower-cased word runs of >= 2."""
     return F.regexp_extract_all(
         F.lower(F.coalesce(text, F.lit(""))),
-        F.lit(rf"[{fixed.WORD}]{{2,}}"), F.lit(0))
+        F.lit(rf"{fixed.WORD}{{2,}}"), F.lit(0))

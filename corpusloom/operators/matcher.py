@@ -9,7 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators.centroid import SCORE_DIGITS
 from corpusloom.operators.common import (BROADCAST_ROWS, bounded,
                                          require_columns, top_rows)
-from corpusloom.operators.tfidf import DOC_IDX, terms_only
+from corpusloom.operators.tfidf import terms_only
 
 DEFAULT_TOP_N = 5
 MASKED = -1.0
@@ -93,11 +93,12 @@ def _fillers(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return open_zero.unionByName(own_zero).unionByName(masked)
 
 
-def match(weights: DataFrame, queries: DataFrame, query_weights: DataFrame,
-          n: int, rows: int | None = None) -> DataFrame:
+def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
+          query_weights: DataFrame, n: int, rows: int | None = None
+          ) -> DataFrame:
     """``(query_id, rank, doc_id, category, score)``.
 
-    Score falling, later documents first on ties. Documents outside the
+    ``docs`` is ``(doc_id, category)`` of the whole index. Score falling, later documents first on ties. Documents outside the
     filtered category are not removed: they follow at -1.
     """
     if n <= 0:
@@ -108,8 +109,6 @@ def match(weights: DataFrame, queries: DataFrame, query_weights: DataFrame,
         "query_id")
     hits = top_rows(similarities(weights, asked, rows), ["query_id"], order,
                     n, "r").drop("r")
-    docs = weights.where(F.col("term_idx") == DOC_IDX).select(
-        "doc_id", "category")
     every = (hits.unionByName(_fillers(docs, queries, n))
              .groupBy("query_id", "doc_id", "category")
              .agg(F.max("score").alias("score")))

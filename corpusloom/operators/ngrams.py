@@ -52,6 +52,14 @@ def explode_ngrams(df: DataFrame, tokens: str = "tokens",
             .where(F.col("term").isNotNull()))
 
 
+def doc_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "category"),
+             **options) -> DataFrame:
+    """The ``keep`` columns of every document, without a pass of their own:
+    they read the same shuffle of token rows as the counts do."""
+    marked = explode_ngrams(df, keep=keep, mark_docs=True, **options)
+    return marked.where(F.col("term") == DOC_MARK).drop("term")
+
+
 def term_counts(df: DataFrame, *, keep: tuple[str, ...] = ("doc_id",
                                                           "category"),
                 **options) -> DataFrame:

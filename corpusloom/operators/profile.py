@@ -22,8 +22,8 @@ def value_counts(corpus: DataFrame, column: str = "category") -> DataFrame:
             .orderBy(F.desc("cnt"), F.asc(column)))
 
 
-def lengths(corpus: DataFrame, key: str = "doc_id") -> DataFrame:
-    rows = split_small_scan(corpus, key)
+def lengths(corpus: DataFrame) -> DataFrame:
+    rows = split_small_scan(corpus)
     return rows.withColumn("char_len", tx.char_count(F.col("text"))
                              ).withColumn("word_count",
                                           tx.word_count(F.col("text")))
@@ -88,8 +88,7 @@ def top_keywords(corpus: DataFrame, n: int = 20, min_length: int = 4,
     most of the corpus does not land in one task.
     """
     listed = stopword_set(stopwords)
-    rows = split_small_scan(corpus.select("doc_id", "category", "text"),
-                               "doc_id")
+    rows = split_small_scan(corpus.select("doc_id", "category", "text"))
     seen = (rows.select("doc_id", "category", F.posexplode(
         tx.words(F.lower("text"))).alias("pos", "keyword"))
         .where((F.length("keyword") >= min_length)

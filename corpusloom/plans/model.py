@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import centroid, matcher, preprocess, tfidf
+from corpusloom.operators import (centroid, matcher, ngrams, preprocess,
+                                  tfidf)
 from corpusloom.operators.common import (BROADCAST_ROWS, NotFittedError,
                                          require_columns)
 
@@ -24,12 +25,14 @@ class CorpusModel:
 
     ``vocabulary (term, term_idx, cf, df, idf)``,
     ``weights (doc_id, category, term_idx, tf, weight)`` and
-    ``centroids (category, label_first_id, term_idx, weight, norm)``.
+    ``centroids (category, label_first_id, term_idx, weight, norm)``;
+    ``docs (doc_id, category)`` lists the documents of the index.
     """
 
     vocabulary: DataFrame
     weights: DataFrame
     centroids: DataFrame
+    docs: DataFrame
     max_features: int
     ngram_range: tuple[int, int]
     centroid_rows: int | None = None
@@ -63,7 +66,8 @@ class CorpusModel:
         weights = tfidf.transform(
             ready, vocabulary, max_features=max_features,
             ngram_range=ngram_range, keep=("category",))
-        return cls(vocabulary, weights, centroid.fit_centroids(weights),
+        docs = ngrams.doc_rows(ready, ngram_range=ngram_range)
+        return cls(vocabulary, weights, centroid.fit_centroids(weights), docs,
                    max_features, ngram_range, centroid_rows, options)
 
     # -- storage ---------------------------------------------------------
@@ -94,7 +98,9 @@ class CorpusModel:
             tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
         except AnalysisException as error:
             raise NotFittedError(f"no fitted model at {path}") from error
-        return cls(**tables, max_features=max_features,
+        docs = tables["weights"].where(
+            F.col("term_idx") == tfidf.DOC_IDX).select("doc_id", "category")
+        return cls(**tables, docs=docs, max_features=max_features,
                    ngram_range=ngram_range, options=options,
                    centroid_rows=centroid.small_enough(tables["centroids"]))
 
@@ -149,7 +155,7 @@ class CorpusModel:
             raise ValueError("no queries, or top_n is not positive")
         ready = preprocess.prepare_texts(asked, key="query_id",
                                          **dict(self.options))
-        found = matcher.match(self.weights, asked,
+        found = matcher.match(self.weights, self.docs, asked,
                               self.vectorize(ready, "query_id"), n, rows)
         if corpus is None:
             return found
