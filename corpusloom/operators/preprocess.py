@@ -61,7 +61,7 @@ def prepare(corpus: DataFrame, *, text_col: str = "text",
     keep = list(keep)
     require_columns(corpus, key, text_col, *keep)
     source = split_small_scan(
-        corpus.select(key, *keep, F.col(text_col).alias("text")))
+        corpus.withColumnRenamed(text_col, "text").select(key, *keep, "text"))
     ready = with_tokens(with_cleaned(source), key=key, **options).select(
         key, *keep, "tokens")
     if min_chars is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
@@ -98,9 +98,19 @@ def read_parquet(spark: SparkSession, path: str, *, key: str = "doc_id",
                  category: str = "category", text: str = "text") -> DataFrame:
     """A corpus from parquet with the columns renamed to the usual three."""
     raw = require_columns(spark.read.parquet(path), key, category, text)
-    return drop_missing(raw.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.col(category).alias("category"), F.col(text).alias("text")))
+    # Columns that already fit are passed on as they are: an alias that
+    # changes nothing can keep two uses of the corpus from sharing a shuffle.
+    number = raw.schema[key].dataType.simpleString() == "bigint"
+    picked = [renamed(key if number else F.col(key).cast("long"), "doc_id"),
+              renamed(category, "category"), renamed(text, "text")]
+    return drop_missing(raw.select(*picked))
+
+
+def renamed(column: str | Column, name: str) -> Column:
+    if isinstance(column, str):
+        column = F.col(column) if column == name else F.col(column).alias(name)
+        return column
+    return column.alias(name)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
