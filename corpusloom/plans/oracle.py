@@ -90,14 +90,14 @@ def with_(*parts: str) -> str:
 
 
 def digest(x: str, source: str = "corpus") -> str:
-    return (f"SELECT doc_id, md5(v) AS digest, length(v) AS n_chars FROM "
+    return (f"SELECT doc_id, md5(v) AS digest, length(v)::INT AS n_chars FROM "
             f"(SELECT doc_id, {x} AS v FROM {source})")
 
 
 def token_digest(x: str) -> str:
     return (with_(corpus(), "c AS (SELECT doc_id, "
                   f"{cleaned('text')} AS cleaned FROM corpus)")
-            + "SELECT doc_id, len(t) AS n_tokens, "
+            + "SELECT doc_id, len(t)::INT AS n_tokens, "
               f"md5({joined('t')}) AS digest FROM "
               f"(SELECT doc_id, {x} AS t FROM c)")
 
@@ -421,7 +421,7 @@ def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     base, fitted = with_(*BASE), fit()
     out["q_load"] = with_(corpus()) + (
-        "SELECT doc_id, category, length(text) AS n_chars FROM corpus")
+        "SELECT doc_id, category, length(text)::INT AS n_chars FROM corpus")
     rows = ", ".join(f"({lit(c)}, {lit(t)})" for c, t in INLINE_ROWS)
     out["q_inline"] = with_(corpus()) + (
         "SELECT category, count(*) AS n_rows, sum(length(text))::BIGINT AS "
@@ -432,7 +432,7 @@ def statements() -> dict[str, str]:
         "FROM corpus")
     out["q_min_length"] = with_(
         corpus(), token_rows("toks", "corpus", min_chars=10)) + (
-        f"SELECT doc_id, length({joined('t')}) AS n_chars FROM toks")
+        f"SELECT doc_id, length({joined('t')})::INT AS n_chars FROM toks")
     out["q_guard"] = (
         "SELECT doc_id, CASE WHEN n >= 20 THEN 'accepted' ELSE 'rejected' END"
         " AS classify_status, CASE WHEN n >= 10 THEN 'accepted' ELSE "
@@ -440,7 +440,7 @@ def statements() -> dict[str, str]:
         f"length({stripped('text')}) AS n FROM ({TURNS.format('doc_id')}))")
     out["q_fillna"] = with_(PEOPLE) + (
         "SELECT doc_id, coalesce(category, '') AS category, "
-        "length(coalesce(category, '')) AS n_chars FROM people")
+        "length(coalesce(category, ''))::INT AS n_chars FROM people")
     out["q_snippet"] = with_(corpus()) + (
         "SELECT doc_id, left(text, 250) || '...' AS resume_snippet, "
         "md5(left(text, 600)) AS preview_digest FROM corpus")
@@ -613,8 +613,8 @@ def statements() -> dict[str, str]:
         "SELECT doc_id, len(groups)::INT AS n_groups, "
         f"{joined('groups', '; ')} AS skill_groups FROM titled")
     out["q_document"] = facts_ + (
-        "SELECT doc_id, title, md5(document) AS digest, length(document) AS "
-        "n_chars FROM docs")
+        "SELECT doc_id, title, md5(document) AS digest, length(document)::INT "
+        "AS n_chars FROM docs")
     out["q_document_predicted"] = with_(
         PEOPLE, *fit(source="corpus AS (SELECT * FROM people WHERE category "
                             "IS NOT NULL)"),
