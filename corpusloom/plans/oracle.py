@@ -549,19 +549,19 @@ def statements() -> dict[str, str]:
         "SELECT DISTINCT category FROM toks ORDER BY category")
     scored = [*vectors("corpus", "doc_id"), scores(), ranked()]
     out["q_cosine_centroids"] = with_(*fitted, *scored) + (
-        "SELECT doc_id, category, round(score, 6) AS score FROM sc")
+        "SELECT doc_id, category, round(score + 1e-10, 6) AS score FROM sc")
     out["q_classify"] = with_(*fitted, *scored) + (
-        "SELECT doc_id, category, round(score, 6) AS score FROM rk WHERE "
+        "SELECT doc_id, category, round(score + 1e-10, 6) AS score FROM rk WHERE "
         "rank = 1")
     out["q_classify_topk"] = with_(*fit("source"), *scored) + (
-        "SELECT doc_id, rank, category, round(score, 6) AS score, "
-        "least(round(score, 6), 1.0) AS shown FROM rk WHERE rank <= 5")
+        "SELECT doc_id, rank, category, round(score + 1e-10, 6) AS score, "
+        "least(round(score + 1e-10, 6), 1.0) AS shown FROM rk WHERE rank <= 5")
     out["q_classify_raw"] = with_(
         *fitted, long_turns("asked", "doc_id", 20),
         *vectors("asked", "doc_id"), scores(), ranked(),
         f"c AS (SELECT doc_id, {cleaned('text')} AS c FROM asked)") + (
         "SELECT doc_id, max(category) FILTER (rank = 1) AS category, "
-        "round(max(score) FILTER (rank = 1), 6) AS score, string_agg(category"
+        "round(max(score) FILTER (rank = 1) + 1e-10, 6) AS score, string_agg(category"
         " || ':' || printf('%.4f', score), ' ' ORDER BY rank) FILTER (rank "
         "<= 5) AS top_k, md5(any_value(c)) AS cleaned_digest, "
         f"md5(any_value({joined(processed('c'))})) AS processed_digest FROM "
@@ -580,14 +580,14 @@ def statements() -> dict[str, str]:
         "s AS (SELECT vec_id, label, first_id, round(d / (vn * cn), 9) AS "
         "score FROM dots JOIN vn USING (vec_id) JOIN cn USING (label) JOIN f "
         "USING (label))") + (
-        "SELECT vec_id, label AS category, round(score, 6) AS score, "
+        "SELECT vec_id, label AS category, round(score + 1e-10, 6) AS score, "
         "(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, "
         "first_id))::INT AS rank FROM s QUALIFY rank <= 3")
 
     asked = "asked AS (SELECT *, 5 AS top_n, NULL AS flt FROM bench)"
     plain = matches("asked", [BENCH, asked])
     out["q_similarity"] = with_(*plain) + (
-        "SELECT query_id, doc_id, round(round(s, 9), 6) AS score FROM sims")
+        "SELECT query_id, doc_id, round(round(s, 9) + 1e-10, 6) AS score FROM sims")
     out["q_match"] = with_(*plain) + (
         "SELECT query_id, rank, b.category AS Category, round(score * 100, 1)"
         " AS similarity_pct, left(text, 250) || '...' AS resume_snippet FROM "
@@ -600,7 +600,7 @@ def statements() -> dict[str, str]:
     raw = ("asked AS (SELECT *, 3 AS top_n, NULL AS flt FROM turns)")
     out["q_match_raw"] = with_(*matches("asked", [
         long_turns("turns", "query_id", 10), raw])) + (
-        "SELECT query_id, rank, doc_id, category, round(score, 6) AS score "
+        "SELECT query_id, rank, doc_id, category, round(score + 1e-10, 6) AS score "
         "FROM best")
 
     facts_ = with_(PEOPLE, *facts())
@@ -621,7 +621,7 @@ def statements() -> dict[str, str]:
         *vectors("people", "doc_id"), scores(), ranked(),
         "guessed AS (SELECT doc_id, rk.category, score, text FROM rk JOIN "
         "people USING (doc_id) WHERE rank = 1)", *facts("guessed")) + (
-        "SELECT doc_id, category, round(score, 6) AS score, "
+        "SELECT doc_id, category, round(score + 1e-10, 6) AS score, "
         f"{joined('skills', ', ')} AS skills, md5(document) AS digest FROM "
         "docs")
     hint = ("CASE WHEN category <> '' THEN 'Predicted category: ' || category"
