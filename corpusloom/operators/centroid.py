@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.common import (BROADCAST_ROWS, bounded, has_at_most,
-                                         top_rows)
+from corpusloom.operators.common import (BROADCAST_ROWS, has_at_most,
+                                         join_small, top_rows)
 from corpusloom.operators.tfidf import DOC_IDX, MAX_FEATURES
 
 SCORE_DIGITS = 9  # sums differ in their last bits; ranks must not
@@ -54,8 +54,8 @@ def label_scores(weights: DataFrame, centroids: DataFrame,
     centroid, so a text without any known term still gets each label, at 0.
     Text rows already have unit length (or are zero).
     """
-    met = (weights.select(key, "term_idx", F.col("weight").alias("w"))
-           .join(bounded(centroids, rows), "term_idx"))
+    met = join_small(weights.select(key, "term_idx", F.col("weight")
+                                    .alias("w")), centroids, "term_idx", rows)
     dots = met.groupBy(key, "category").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot"),
         F.max("norm").alias("norm"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.centroid import SCORE_DIGITS
-from corpusloom.operators.common import (BROADCAST_ROWS, bounded,
+from corpusloom.operators.common import (BROADCAST_ROWS, bounded, join_small,
                                          require_columns, top_rows)
 from corpusloom.operators.tfidf import terms_only
 
@@ -50,7 +50,7 @@ def similarities(weights: DataFrame, query_weights: DataFrame,
     ``category_filter``; other documents are left out before the sum.
     """
     asked = terms_only(query_weights).withColumnRenamed("weight", "qw")
-    met = terms_only(weights).join(bounded(asked, rows), "term_idx")
+    met = join_small(terms_only(weights), asked, "term_idx", rows)
     if "category_filter" in asked.columns:
         met = met.where(F.col("category_filter").isNull()
                         | (F.col("category") == F.col("category_filter")))

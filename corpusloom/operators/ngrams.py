@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.common import bounded, dense_index
+from corpusloom.operators.common import dense_index, join_small
 
 # Term of the one extra row each document may contribute: it counts documents
 # in the same pass that counts terms and keeps documents without any term.
@@ -118,5 +118,4 @@ def matrix(counts: DataFrame, vocabulary: DataFrame,
            max_features: int | None) -> DataFrame:
     """Counts of known terms only, as ``(..., term_idx, tf)``."""
     index = vocabulary.select("term", "term_idx")
-    return (counts.join(bounded(index, max_features), "term")
-            .drop("term"))
+    return join_small(counts, index, "term", max_features).drop("term")

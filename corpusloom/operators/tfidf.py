@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ngrams
-from corpusloom.operators.common import bounded
+from corpusloom.operators.common import join_small
 
 MAX_FEATURES = 10_000
 DOC_IDX = -1  # term_idx of the document mark
@@ -70,9 +70,9 @@ def transform(prepared: DataFrame, vocabulary: DataFrame, *,
     with ``term_idx`` -1 and weight 0, also if it has no known term.
     """
     index = vocabulary.select("term", "term_idx", "idf")
-    counts = (ngrams.explode_ngrams(prepared, ngram_range=ngram_range,
-                                    keep=(key, *keep), mark_docs=True)
-              .join(bounded(index, max_features + 1), "term")
+    grams = ngrams.explode_ngrams(prepared, ngram_range=ngram_range,
+                                  keep=(key, *keep), mark_docs=True)
+    counts = (join_small(grams, index, "term", max_features + 1)
               .groupBy(key, *keep, "term_idx")
               .agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf")))
     return weigh(counts, key)
@@ -87,5 +87,5 @@ def with_terms(weights: DataFrame, vocabulary: DataFrame,
                max_features: int = MAX_FEATURES) -> DataFrame:
     """Spell ``term_idx`` out again."""
     index = vocabulary.select("term", "term_idx")
-    return terms_only(weights).join(bounded(index, max_features + 1),
-                                    "term_idx")
+    return join_small(terms_only(weights), index, "term_idx",
+                      max_features + 1)

@@ -1,6 +1,7 @@
 """Model, matcher, bag of words, profile, sources and stream, checked
 against brute force in plain Python on small data."""
 
+import dataclasses
 import math
 import random
 from collections import Counter
@@ -156,6 +157,13 @@ def test_match_without_broadcast(spark, model, monkeypatch):
     assert sorted(model.match(queries).collect()) == sorted(small)
 
 
+def test_classify_without_broadcast(model, docs):
+    """Past the size bound of the centroids the salted join does it."""
+    loose = dataclasses.replace(model, centroid_rows=None)
+    plan = loose.classify(docs, 2)
+    assert sorted(plan.collect()) == sorted(model.classify(docs, 2).collect())
+
+
 def test_own_document_is_best(model, docs):
     queries = docs.where("doc_id < 10").select(
         F.col("doc_id").alias("query_id"), "text")
