@@ -32,8 +32,8 @@ def bounded(df: DataFrame, rows: int | None,
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str, rows: int | None,
-               salts: int = 16) -> DataFrame:
-    """Inner join of a large side with one that usually fits everywhere.
+               how: str = "inner", salts: int = 16) -> DataFrame:
+    """Inner or left join with a side that usually fits everywhere.
 
     Within its bound the small side is broadcast and the large side stays
     where it is. Beyond that both sides shuffle, and since one key may hold a
@@ -41,12 +41,12 @@ def join_small(big: DataFrame, small: DataFrame, on: str, rows: int | None,
     other side is repeated once per salt. The rows are the same.
     """
     if rows is not None and rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on)
+        return big.join(F.broadcast(small), on, how)
     salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     return (big.withColumn("_salt", salt)
-            .join(small.withColumn("_salt", F.explode(every)), [on, "_salt"])
-            .drop("_salt"))
+            .join(small.withColumn("_salt", F.explode(every)), [on, "_salt"],
+                  how).drop("_salt"))
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:

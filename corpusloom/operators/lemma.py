@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
-from corpusloom.operators.common import BROADCAST_ROWS, bounded, has_at_most
+from corpusloom.operators.common import (BROADCAST_ROWS, has_at_most,
+                                         join_small)
 
 
 def _shorter(form: Column) -> Column:
@@ -93,8 +94,8 @@ def lemmatize_tokens(df: DataFrame, lexicon: DataFrame,
     changed = (lemma_map(forms, lexicon, exceptions)
                .where(F.col("form") != F.col("lemma")))
     rows = BROADCAST_ROWS if has_at_most(changed, BROADCAST_ROWS) else None
-    placed = (df.select(key, F.posexplode("tokens").alias("pos", "form"))
-              .join(bounded(changed, rows), "form", "left")
+    spread = df.select(key, F.posexplode("tokens").alias("pos", "form"))
+    placed = (join_small(spread, changed, "form", rows, "left")
               .select(key, F.struct("pos", F.coalesce("lemma", "form")
                                     .alias("token")).alias("t")))
     rebuilt = placed.groupBy(key).agg(F.sort_array(F.collect_list("t"))

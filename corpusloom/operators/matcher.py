@@ -33,11 +33,12 @@ def normalize_queries(queries: DataFrame, top_n: int = DEFAULT_TOP_N
 def query_bounds(queries: DataFrame) -> tuple[int, int | None]:
     """Largest ``top_n``, and a bound on query terms if that is small.
 
-    A text of c characters has fewer than c uni- and bigrams.
+    A text of c characters has fewer than c uni- and bigrams, and every query
+    has one row more for itself.
     """
-    n, chars = queries.agg(F.max("top_n"), F.sum(F.length("text"))).first()
-    chars = chars or 0
-    return n or 0, chars if chars <= BROADCAST_ROWS else None
+    n, size = queries.agg(F.max("top_n"), F.coalesce(F.sum(
+        F.length(tx.filled(F.col("text"))) + 1), F.lit(0))).first()
+    return n or 0, size if size <= BROADCAST_ROWS else None
 
 
 def similarities(weights: DataFrame, query_weights: DataFrame,
@@ -83,10 +84,11 @@ def _fillers(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
                         F.lit(score).alias("score")))
 
     open_zero = spread(ask.where(free), F.slice("recent", 1, 2 * n), 0.0)
-    own_zero = (queries.where(~free)
-                .join(tail, F.col("category_filter") == F.col("category"))
-                .select("query_id", "doc_id", "category",
-                        F.lit(0.0).alias("score")))
+    # many queries may ask for one category: deal them out, repeat the tail
+    own = queries.where(~free).select(
+        "query_id", F.col("category_filter").alias("category"))
+    own_zero = join_small(own, tail.drop("r"), "category", None).select(
+        "query_id", "doc_id", "category", F.lit(0.0).alias("score"))
     masked = spread(ask.where(~free), F.slice(F.filter(
         "recent", lambda d: d["category"] != F.col("category_filter")),
         1, n), MASKED)
