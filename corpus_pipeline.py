@@ -12,11 +12,7 @@ from corpusloom.llm.shared import shared_folder, table
 # Each function takes (spark, docs, sf_dir). What it returns is written as
 # Parquet and read again as the docs of the next one.
 STAGES = [
-    ("language_id", stages.language_id),
     ("exact_dedup", stages.exact_dedup),
-    ("ngram_jaccard_join", stages.ngram_jaccard_join),
-    ("mix_sources", stages.mix_sources),
-    ("best_fit_packing", stages.best_fit_packing),
 ]
 
 # Language ID and the packing heuristic have no SQL form; the tests compare
