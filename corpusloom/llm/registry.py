@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, language_id, mixing, packing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_mix_sources": mixing.op6_mix_sources,
 }
 
 SQL = {

@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Python workers take so many rows at a time, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, with underscores added until no column has that name."""
     taken = {c.lower() for c in columns}
