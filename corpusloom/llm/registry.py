@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, language_id, mixing, packing
+from corpusloom.llm import (exact_dedup, language_id, mixing, ngram_join,
+                            packing)
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,

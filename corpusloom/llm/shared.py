@@ -37,6 +37,27 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+FIELD_WORDS = 1 << 17  # 8 Mbit, some 10 MB when it is broadcast
+
+
+def may_be_in(big: DataFrame, column: str, small: DataFrame) -> DataFrame:
+    """Rows of ``big`` whose value may be in the column of ``small``.
+
+    A filter by one bit per hashed value, of fixed size however large ``small``
+    is: rows can pass by chance, none is lost. An exact join follows it, which
+    then shuffles little of ``big``.
+    """
+    at = F.pmod(F.xxhash64(column), F.lit(FIELD_WORDS * 64))
+    field = (small.select(at.alias("_at"))
+             .groupBy(F.expr("_at div 64").alias("_word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int)))")
+                  .alias("_bits")))
+    return (big.withColumn("_at", at)
+            .join(F.broadcast(field), F.expr("_at div 64") == F.col("_word"))
+            .where("getbit(_bits, cast(_at % 64 as int)) = 1")
+            .drop("_at", "_word", "_bits"))
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, with underscores added until no column has that name."""
     taken = {c.lower() for c in columns}
