@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm import (exact_dedup, language_id, mixing, ngram_join,
-                            packing)
+                            packing, vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
 }
 
 SQL = {
