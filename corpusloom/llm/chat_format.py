@@ -58,6 +58,7 @@ def _chains(nodes: DataFrame) -> DataFrame:
         F.when(F.col("is_head"), F.col("node")).otherwise(F.col("parent"))
         .alias("up"),
         F.when(F.col("is_head"), 0).otherwise(1).cast("long").alias("step")))
+    longest = state.count()  # no chain has more nodes; a ring goes on
     while True:
         above = state.select("tree", F.col("node").alias("up"),
                              F.col("up").alias("_up"),
@@ -66,11 +67,10 @@ def _chains(nodes: DataFrame) -> DataFrame:
             "tree", "node", "parent", "score", "is_head",
             F.col("_up").alias("up"), (F.col("step") + F.col("_step"))
             .alias("step"), (F.col("_step") > 0).alias("moved")))
-        # a ring of replies never ends, so its steps double without end
-        if state.where("moved and step < (1L << 40)").isEmpty():
+        if state.where(f"moved and step < {longest}").isEmpty():
             break
         state = state.drop("moved")
-    return (state.where("step < (1L << 40)").drop("moved")
+    return (state.where(f"step < {longest}").drop("moved")
             .withColumnRenamed("up", "head"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import (exact_dedup, language_id, mixing, ngram_join,
-                            packing, vector_dedup)
+from corpusloom.llm import (chat_format, exact_dedup, language_id, mixing,
+                            ngram_join, packing, vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_chat_format": chat_format.OP8_SQL,
 }

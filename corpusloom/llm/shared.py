@@ -27,9 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    A checkpoint also keeps the facts that Spark has inferred about its
+    columns. In a loop of joins these double in each round, so they are left
+    out here.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    infer = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(infer)
+    spark.conf.set(infer, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(infer, before)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
