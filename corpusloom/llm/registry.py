@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm import (chat_format, exact_dedup, language_id, mixing,
-                            ngram_join, packing, vector_dedup)
+                            ngram_join, packing, url_filter, vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 SQL = {
