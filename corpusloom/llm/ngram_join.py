@@ -13,7 +13,10 @@ Large bands use fewer blocks: k such that two sets at the very threshold agree
 in at least EXPECTED filled blocks on average, which leaves a pair unmet with a
 chance below exp(-EXPECTED). Sets for which neither rule holds, and sets below
 32 shingles, use each shingle as a block of its own, where the pigeonhole rule
-always holds. All candidate pairs are verified on the shingles themselves.
+always holds. A second sketch of BITS bits, in which each shingle flips one
+bit, drops most pairs that met by chance: its Hamming distance, too, never
+exceeds the symmetric difference. All other pairs are verified on the shingles
+themselves.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import (components, cut, may_be_in, small_batches,
@@ -33,6 +36,8 @@ EXPECTED = 14.0
 FIRST_BAND = 32
 RATIO = 1.6
 BIG = 64     # a block that more sets share is looked at last
+BITS = 1024
+_LONGS = range(BITS // 64)
 _U = np.uint64
 
 
@@ -117,8 +122,15 @@ def sketches(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit numbers; each shingle flips one of them."""
+    at = (mixed(found + _U(7)) >> _U(40)) % _U(BITS)
+    odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Row per document: n, fingerprint f1 and f2 of its set, its sketches."""
+    """Row per document: n, fingerprint f1 and f2 of its set, sketches."""
     kind = docs.schema[key].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,15 +139,17 @@ def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
             for doc, body in zip(batch.iloc[:, 0], batch.iloc[:, 1],
                                  strict=True):
                 found = shingle_set(body)
-                rows.append((doc, len(found), *fingerprint(found), [
+                rows.append((doc, len(found), *fingerprint(found),
+                             parity_bits(found), [
                     {"band": b, "spare": s, "signatures": x.view(np.int64)}
                     for b, s, x in sketches(found)]))
-            yield pd.DataFrame(rows, columns=["key", "n", "f1", "f2",
+            yield pd.DataFrame(rows, columns=["key", "n", "f1", "f2", "bits",
                                               "bands"], dtype=object)
 
     return docs.select(key, text).mapInPandas(
-        describe, f"key {kind}, n int, f1 long, f2 long, bands array<struct<"
-        "band:int, spare:int, signatures:array<long>>>")
+        describe, f"key {kind}, n int, f1 long, f2 long, bits array<long>, "
+        "bands array<struct<band:int, spare:int, "
+        "signatures:array<long>>>")
 
 
 def fingerprint(found: np.ndarray) -> tuple[int, int]:
@@ -162,17 +176,31 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         shingle, f"key {kind}, f1 long, f2 long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _close(one: str, two: str) -> Column:
+    """Whether sizes and sketches of two classes allow a similarity of 0.8."""
+    apart = " + ".join(f"bit_count({one}.x{i} ^ {two}.x{i})" for i in _LONGS)
+    return F.expr(f"10 * least({one}.n, {two}.n) >= "
+                  f"8 * greatest({one}.n, {two}.n) and "
+                  f"9 * ({apart}) <= {one}.n + {two}.n")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame,
+              key: str, text: str) -> DataFrame:
     """Pairs (a, b) of classes whose sets have a Jaccard of at least 0.8."""
-    one = sets.toDF("a", "na", "sa")
-    two = sets.toDF("b", "nb", "sb")
-    close = (pairs.join(one.drop("sa"), "a").join(two.drop("sb"), "b")
-             .where("10 * least(na, nb) >= 8 * greatest(na, nb)")
-             .select("a", "b"))
+    cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = cut(classes.join(cids, "cid").select(
+        "cid", "n", "f1", "f2", F.col("first").alias("key")))
+    texts = may_be_in(docs.select(key, text), key, wanted.select(
+        F.col("key").alias(key)))
+    sets = cut(_sets(texts, key, text).alias("s").join(
+        wanted.alias("w"), F.col("s.key").eqNullSafe(F.col("w.key"))
+        & (F.col("s.f1") == F.col("w.f1")) & (F.col("s.f2") == F.col("w.f2")))
+        .select("cid", "n", "shingles").dropDuplicates(["cid"]))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (close.join(one, "a").join(two, "b").withColumn("both", both)
-            .where("100L * both >= 80L * (na + nb - both)")
-            .select("a", "b"))
+    return cut(pairs.join(sets.toDF("a", "na", "sa"), "a")
+               .join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", both)
+               .where("100L * both >= 80L * (na + nb - both)")
+               .select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id",
@@ -187,10 +215,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
     component_id is null. Rows that repeat a key are rows of their own.
 
     Blocks shared by more than two classes are not expanded into pairs: each
-    class is compared with the first one of the block. Only where a block then
-    still holds different components are the classes of different components
-    compared; blocks with more than BIG classes are left out of this for every
-    class that can lose them by the pigeonhole rule.
+    class is compared with the most central one, whose blocks are shared most.
+    Only where a block then still holds different components are classes of
+    different components compared, first by their sketches inside the join;
+    blocks with more than BIG classes are left out of this for every class
+    that can lose them by the pigeonhole rule.
     """
     small_batches(docs.sparkSession)
     features = cut(_features(docs, key, text))
@@ -198,58 +227,65 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
         features.where("n > 0").groupBy("n", "f1", "f2")
         .agg(F.min("key").alias("first"))
         .withColumn("cid", F.monotonically_increasing_id()))
-    heads = (features.where("size(bands) > 0").alias("f").join(
+    heads = cut(features.where("size(bands) > 0").alias("f").join(
         classes.alias("c"), F.col("f.key").eqNullSafe(F.col("c.first"))
         & (F.col("f.f1") == F.col("c.f1")) & (F.col("f.f2") == F.col("c.f2")))
-        .select("cid", F.explode("bands").alias("band"))
-        .select("cid", "band.*"))
-    heads = cut(heads)
-    signs = heads.select("cid", "band", "spare",
-                         F.explode("signatures").alias("sign"))
+        .select("cid", "f.n", "bits", "bands"))
+    signs = (heads.select("cid", F.explode("bands").alias("band"))
+             .select("cid", "band.*")
+             .select("cid", "band", "spare",
+                     F.explode("signatures").alias("sign")))
     blocks = cut(signs.groupBy("sign").agg(
-        F.count(F.lit(1)).alias("n"), F.min("cid").alias("a"),
+        F.count(F.lit(1)).alias("size"), F.min("cid").alias("a"),
         F.max("cid").alias("b")).where("a < b"))
-    shared = blocks.where("n > 2").select("sign", "n", "a")
+    shared = blocks.where("size > 2").select("sign", "size")
     members = cut(may_be_in(signs, "sign", shared).join(shared, "sign"))
-    first = cut(blocks.select("a", "b").union(
-        members.where("cid > a").select("a", "cid")).distinct())
-
-    wanted = classes.select("cid", "n", "f1", "f2",
-                            F.col("first").alias("key")).join(
-        first.select(F.explode(F.array("a", "b")).alias("cid")).distinct(),
-        "cid")
-    wanted = cut(wanted)
-    texts = may_be_in(docs.select(key, text), key, wanted.select(
-        F.col("key").alias(key)))
-    sets = cut(_sets(texts, key, text).alias("s").join(
-        wanted.alias("w"), F.col("s.key").eqNullSafe(F.col("w.key"))
-        & (F.col("s.f1") == F.col("w.f1")) & (F.col("s.f2") == F.col("w.f2")))
-        .select("cid", "n", "shingles").dropDuplicates(["cid"]))
-    links = cut(_verified(first, sets))
+    sketch = cut(heads.select("cid", "n", *[
+        F.col("bits")[i].alias(f"x{i}") for i in _LONGS]).join(
+        blocks.select(F.explode(F.array("a", "b")).alias("cid"))
+        .union(members.select("cid")).distinct(), "cid")
+        .dropDuplicates(["cid"]))
+
+    stars = cut(_stars(blocks, members))
+    stars = cut(stars.alias("p").join(sketch.alias("x"), F.expr(
+        "p.a = x.cid")).join(sketch.alias("y"), F.expr("p.b = y.cid")
+                             & _close("x", "y")).select("p.a", "p.b"))
+    links = _verified(stars, classes, docs, key, text)
     label = components(links)
 
-    rest = _unresolved(members, label)
-    pairs = (rest.alias("x").join(rest.alias("y"), "sign")
-             .where("x.cid < y.cid and x.component <> y.component")
-             .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-             .distinct().join(first, ["a", "b"], "left_anti"))
-    more = cut(_verified(cut(pairs), sets))
-    if not more.isEmpty():
+    rest = cut(_unresolved(members, label).join(sketch, "cid"))
+    pairs = cut(rest.alias("x").join(rest.alias("y"), F.expr(
+        "x.sign = y.sign and x.cid < y.cid and x.component <> y.component")
+        & _close("x", "y"))
+        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        .distinct().join(stars, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        more = _verified(pairs, classes, docs, key, text)
         label = components(links.union(more))
     return _labelled(features, classes, label, key)
 
 
+def _stars(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: both of two, or the centre with each other one."""
+    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    centre = (members.join(central, "cid").groupBy("sign").agg(
+        F.max(F.struct("weight", "cid"))["cid"].alias("hub")))
+    rays = members.join(centre, "sign").where("cid <> hub").select(
+        F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+    return blocks.where("size = 2").select("a", "b").union(rays).distinct()
+
+
 def _unresolved(members: DataFrame, label: DataFrame) -> DataFrame:
     """Rows (sign, cid, component) of blocks with several components."""
     named = cut(members.join(label.withColumnRenamed("node", "cid"), "cid",
                              "left")
                 .withColumn("component", F.coalesce("component", "cid")))
-    lost = (named.where(F.col("n") > BIG).groupBy("cid", "band", "spare")
+    lost = (named.where(F.col("size") > BIG).groupBy("cid", "band", "spare")
             .agg(F.count(F.lit(1)).alias("lost")).where("lost > spare")
             .select("cid", "band"))
-    big = named.where(F.col("n") > BIG).join(lost, ["cid", "band"],
+    big = named.where(F.col("size") > BIG).join(lost, ["cid", "band"],
                                              "left_semi")
-    kept = named.where(F.col("n") <= BIG).unionByName(big.select(
+    kept = named.where(F.col("size") <= BIG).unionByName(big.select(
         named.columns))
     open_ = (kept.groupBy("sign").agg(F.min("component").alias("lo"),
                                       F.max("component").alias("hi"))
