@@ -57,21 +57,26 @@ def _chains(nodes: DataFrame) -> DataFrame:
         "tree", "node", "parent", "score", "is_head",
         F.when(F.col("is_head"), F.col("node")).otherwise(F.col("parent"))
         .alias("up"),
-        F.when(F.col("is_head"), 0).otherwise(1).cast("long").alias("step")))
+        F.when(F.col("is_head"), 0).otherwise(1).cast("long").alias("step"),
+        F.col("is_head").alias("done")))
+    # nodes whose chain's head is known step aside, so each round joins only
+    # what is left: after round n, nodes more than 2 ** n steps from the head
     longest = state.count()  # no chain has more nodes; a ring goes on
-    while True:
-        above = state.select("tree", F.col("node").alias("up"),
-                             F.col("up").alias("_up"),
-                             F.col("step").alias("_step"))
-        state = cut(state.join(above, ["tree", "up"]).select(
+    found = state.where("is_head")
+    active = state.where("not is_head")
+    rounds = 0
+    while 1 << rounds <= longest and not active.isEmpty():
+        above = found.unionByName(active).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("_up"),
+            F.col("step").alias("_step"), F.col("done").alias("_done"))
+        moved = cut(active.join(above, ["tree", "up"]).select(
             "tree", "node", "parent", "score", "is_head",
             F.col("_up").alias("up"), (F.col("step") + F.col("_step"))
-            .alias("step"), (F.col("_step") > 0).alias("moved")))
-        if state.where(f"moved and step < {longest}").isEmpty():
-            break
-        state = state.drop("moved")
-    return (state.where(f"step < {longest}").drop("moved")
-            .withColumnRenamed("up", "head"))
+            .alias("step"), F.col("_done").alias("done")))
+        found = found.unionByName(moved.where("done"))
+        active = moved.where("not done")
+        rounds += 1
+    return cut(found.drop("done").withColumnRenamed("up", "head"))
 
 
 def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
