@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from corpusloom.llm import (chat_format, exact_dedup, language_id, mixing,
-                            ngram_join, packing, url_filter, vector_dedup)
+                            ngram_join, packing, substring_dedup, url_filter,
+                            vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,

@@ -52,14 +52,15 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 FIELD_WORDS = 1 << 17  # 8 Mbit, some 10 MB when it is broadcast
 
 
-def may_be_in(big: DataFrame, column: str, small: DataFrame) -> DataFrame:
+def may_be_in(big: DataFrame, column: str, small: DataFrame,
+              words: int = FIELD_WORDS) -> DataFrame:
     """Rows of ``big`` whose value may be in the column of ``small``.
 
     A filter by one bit per hashed value, of fixed size however large ``small``
     is: rows can pass by chance, none is lost. An exact join follows it, which
     then shuffles little of ``big``.
     """
-    at = F.pmod(F.xxhash64(column), F.lit(FIELD_WORDS * 64))
+    at = F.pmod(F.xxhash64(column), F.lit(words * 64))
     field = (small.select(at.alias("_at"))
              .groupBy(F.expr("_at div 64").alias("_word"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int)))")
