@@ -178,7 +178,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _close(one: str, two: str) -> Column:
     """Whether sizes and sketches of two classes allow a similarity of 0.8."""
-    apart = " + ".join(f"bit_count({one}.x{i} ^ {two}.x{i})" for i in _LONGS)
+    apart = " + ".join(f"bit_count({one}.bits[{i}] ^ {two}.bits[{i}])" for i in _LONGS)
     return F.expr(f"10 * least({one}.n, {two}.n) >= "
                   f"8 * greatest({one}.n, {two}.n) and "
                   f"9 * ({apart}) <= {one}.n + {two}.n")
@@ -240,14 +240,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
         F.max("cid").alias("b")).where("a < b"))
     shared = blocks.where("size > 2").select("sign", "size")
     members = cut(may_be_in(signs, "sign", shared).join(shared, "sign"))
-    sketch = cut(heads.select("cid", "n", *[
-        F.col("bits")[i].alias(f"x{i}") for i in _LONGS]).join(
+    sketch = cut(heads.select("cid", "n", "bits").join(
         blocks.select(F.explode(F.array("a", "b")).alias("cid"))
         .union(members.select("cid")).distinct(), "cid")
         .dropDuplicates(["cid"]))
 
-    stars = cut(_stars(blocks, members))
-    stars = cut(stars.alias("p").join(sketch.alias("x"), F.expr(
+    stars = cut(_stars(blocks, members).alias("p").join(sketch.alias("x"), F.expr(
         "p.a = x.cid")).join(sketch.alias("y"), F.expr("p.b = y.cid")
                              & _close("x", "y")).select("p.a", "p.b"))
     links = _verified(stars, classes, docs, key, text)
