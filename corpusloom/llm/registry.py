@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import (chat_format, exact_dedup, language_id, mixing,
-                            ngram_join, packing, substring_dedup, url_filter,
-                            vector_dedup)
+from corpusloom.llm import (chat_format, exact_dedup, language_id,
+                            line_dedup, mixing, ngram_join, packing,
+                            substring_dedup, url_filter, vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
