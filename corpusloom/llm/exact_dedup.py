@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import cut, table
+from corpusloom.llm.shared import cut, slim, table, widened
 
 BITS_PER_ROW = 16
 # 2**20 words of 64 bits are the most that is ever broadcast (some 30 MB as a
@@ -32,7 +32,7 @@ def _cells(digest: Column, cells: int) -> list[Column]:
 
 def repeat_filter(digests: DataFrame, cells: int) -> DataFrame:
     """Bits of the cells hit more than once: (word, bits), one row per word."""
-    hit = digests.select(F.explode(F.array(*_cells(F.col("_sha"), cells)))
+    hit = digests.select(F.explode(F.array(*_cells(F.col("sha"), cells)))
                          .alias("cell"))
     again = (hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
              .where("n > 1"))
@@ -42,15 +42,15 @@ def repeat_filter(digests: DataFrame, cells: int) -> DataFrame:
 
 
 def _suspects(df: DataFrame, field: DataFrame, cells: int) -> DataFrame:
-    """Add ``_suspect``: both cells of the row's digest were hit again."""
-    for i, cell in enumerate(_cells(F.col("_sha"), cells)):
+    """Add ``suspect``: both cells of the row's digest were hit again."""
+    for i, cell in enumerate(_cells(F.col("sha"), cells)):
         words = field.toDF(f"_word{i}", f"_bits{i}")
         df = df.withColumn(f"_cell{i}", cell)
         df = df.join(F.broadcast(words),
                      F.expr(f"_cell{i} div 64") == F.col(f"_word{i}"), "left")
     test = [F.coalesce(F.expr(f"getbit(_bits{i}, cast(_cell{i} % 64 as int))")
                        == 1, F.lit(False)) for i in (0, 1)]
-    return df.withColumn("_suspect", test[0] & test[1]).drop(
+    return df.withColumn("suspect", test[0] & test[1]).drop(
         *[f"{c}{i}" for c in ("_cell", "_word", "_bits") for i in (0, 1)])
 
 
@@ -63,39 +63,39 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     text only one is kept. Columns of ``docs`` that already have one of the new
     names are replaced. An empty table gives an empty result.
     """
-    new = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*new)
-    body = docs.withColumn("_sha", sha256(F.col(text)))
-    digests = cut(body.select(F.col(key).alias("_key"), "_sha"))
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    named = {"key": key, "text": text}
+    body = slim(docs, named).withColumn("sha", sha256(F.col("text")))
+    digests = cut(body.select("key", "sha"))
     words = min(MAX_WORDS, digests.count() * bits_per_row // 64 + 1)
     cells = words * 64
     field = cut(repeat_filter(digests, cells))
 
     # rows that repeat both key and text come together first, so that a hot
     # text is summed up before it shuffles
-    same = (_suspects(digests, field, cells).where("_suspect")
-            .groupBy("_sha", "_key").agg(F.count(F.lit(1)).alias("_n")))
-    groups = same.groupBy(F.col("_sha").alias("_group")).agg(
-        F.max(F.struct("_key", "_n")).alias("_best"),
-        F.sum("_n").alias("group_size"))
+    same = (_suspects(digests, field, cells).where("suspect")
+            .groupBy("sha", "key").agg(F.count(F.lit(1)).alias("n")))
+    groups = same.groupBy(F.col("sha").alias("group")).agg(
+        F.max(F.struct("key", "n")).alias("best"),
+        F.sum("n").alias("group_size"))
     marked = _suspects(body, field, cells)
-    alone = marked.where("not _suspect").select(
-        *docs.columns, F.col(key).alias("keep_id"),
+    result = marked.where("not suspect").select(
+        "key", "text", "rest", F.col("key").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
-    found = marked.where("_suspect").join(
-        groups, F.col("_sha") == F.col("_group"))
-    first = found[key].eqNullSafe(F.col("_best._key"))
-    once = Window.partitionBy("_sha", key).orderBy(F.lit(1))
-    keep = found.where(first & (F.col("_best._n") > 1)).withColumn(
-        "kept", F.row_number().over(once) == 1)
-    rest = found.where(~(first & (F.col("_best._n") > 1))).withColumn(
-        "kept", first)
-    for part in (rest, keep):
-        alone = alone.unionByName(part.select(
-            *docs.columns, F.col("_best._key").alias("keep_id"),
-            "group_size", "kept", F.col("_sha").alias("text_sha256")))
-    return alone
+        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    found = marked.where("suspect").join(groups, F.col("sha")
+                                         == F.col("group"))
+    first = F.col("key").eqNullSafe(F.col("best.key"))
+    twice = first & (F.col("best.n") > 1)
+    once = Window.partitionBy("sha", "key").orderBy(F.lit(1))
+    for part in (found.where(~twice).withColumn("kept", first),
+                 found.where(twice).withColumn(
+                     "kept", F.row_number().over(once) == 1)):
+        result = result.unionByName(part.select(
+            "key", "text", "rest", F.col("best.key").alias("keep_id"),
+            "group_size", "kept", F.col("sha").alias("text_sha256")))
+    return widened(result, docs.columns, named, "keep_id", "group_size",
+                   "kept", "text_sha256")
 
 
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:

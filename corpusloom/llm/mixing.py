@@ -16,7 +16,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ranked, table
+from corpusloom.llm.shared import ranked, slim, table, widened
 
 BLOCK_DOCS = 4
 CYCLE = 1_000         # slots in a cycle, the resolution of the weights
@@ -84,8 +84,9 @@ def mix(docs: DataFrame, power: float = 0.9,
     ``docs`` that already have one of the new names are replaced.
     """
     docs = docs.drop("position", "epoch", "slot")
-    spark, columns = docs.sparkSession, docs.columns
-    found = (docs.groupBy(F.col(source).alias("name"))
+    spark, named = docs.sparkSession, {"key": key, "source": source}
+    rows = slim(docs, named)
+    found = (rows.groupBy(F.col("source").alias("name"))
              .agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1)
              .collect())
     if len(found) > MAX_SOURCES:
@@ -96,13 +97,13 @@ def mix(docs: DataFrame, power: float = 0.9,
         sizes, "_name string, _n long, _share long, _blocks long")
     schedule = spark.createDataFrame(
         schedule, "_slot_of string, _j long, _at long")
-    tied = docs.withColumn("_tie", F.xxhash64(*columns))
+    tied = rows.withColumn("_tie", F.xxhash64("*"))
     # a source's blocks have _blocks * block places, which its documents fill
     # again and again; two steps keep each array short
     last = F.expr(f"(_blocks * {block} - 1 - _rank) div _n")
-    return (
-        ranked(tied, source, [key, "_tie"], name="_rank")
-        .join(F.broadcast(sizes), F.col(source).eqNullSafe(F.col("_name")))
+    placed = (
+        ranked(tied, "source", ["key", "_tie"], name="_rank")
+        .join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_last", last)
         .withColumn("_lot", F.explode(F.expr(
             f"sequence(0L, _last div {_LOT})")))
@@ -112,11 +113,12 @@ def mix(docs: DataFrame, power: float = 0.9,
         .withColumn("_place", F.col("_rank") + F.col("epoch") * F.col("_n"))
         .withColumn("_block", F.expr(f"_place div {block}"))
         .join(F.broadcast(schedule),
-              F.col(source).eqNullSafe(F.col("_slot_of"))
+              F.col("source").eqNullSafe(F.col("_slot_of"))
               & (F.expr("_block % _share") == F.col("_j")))
         .withColumn("slot", F.expr(f"_block div _share * {cycle} + _at"))
-        .select(*columns, F.expr(f"slot * {block} + _place % {block}")
-                .alias("position"), "epoch", "slot"))
+        .withColumn("position", F.expr(
+            f"slot * {block} + _place % {block}")))
+    return widened(placed, docs.columns, named, "position", "epoch", "slot")
 
 
 def _plan(counts: dict, power: float, weights: dict | None, block: int):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,25 @@ def may_be_in(big: DataFrame, column: str, small: DataFrame,
             .drop("_at", "_word", "_bits"))
 
 
+def slim(df: DataFrame, named: dict[str, str]) -> DataFrame:
+    """The columns ``named`` {new name: name} and all others in one, ``rest``.
+
+    So an operator's own columns can't clash with those it only passes on.
+    """
+    rest = [F.col(c) for c in df.columns if c not in named.values()]
+    return df.select(*[F.col(old).alias(new) for new, old in named.items()],
+                     F.struct(F.lit(0).alias("_slim"), *rest).alias("rest"))
+
+
+def widened(df: DataFrame, columns: list[str], named: dict[str, str],
+            *new: str | Column) -> DataFrame:
+    """Undo ``slim``: ``columns`` under their names, then the new ones."""
+    back = {old: name for name, old in named.items()}
+    return df.select(*[
+        F.col(back[c]).alias(c) if c in back
+        else F.col("rest").getField(c).alias(c) for c in columns], *new)
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, with underscores added until no column has that name."""
     taken = {c.lower() for c in columns}

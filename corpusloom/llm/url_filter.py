@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import cut, table
+from corpusloom.llm.shared import cut, slim, table, widened
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"),
          ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
@@ -152,8 +152,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None,
     new = ["host", "path", "rule", "verdict", "trust", "distrust"]
     pages = pages.drop(*new)
     rules = rule_table(pages.sparkSession) if rules is None else rules
-    named = (pages.withColumn("host", host_of(F.col(url)))
-             .withColumn("path", path_of(F.col(url))))
+    own = {"url": url, "html": html}
+    named = (slim(pages, own).withColumn("host", host_of(F.col("url")))
+             .withColumn("path", path_of(F.col("url"))))
     judged = with_rules(named, rules)
     verdict = F.col("rule_verdict")
     seeds = (with_rules(named.select("host", "path"), rules)
@@ -161,17 +162,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None,
                  F.when(verdict == "allow", 1.0)
                  .when(verdict == "block", -1.0).otherwise(0.0))
                  .alias("weight")))
-    scores = propagate(seeds, cut(host_edges(named.select(
-        "host", F.col(html).alias("html")))), rounds)
+    scores = propagate(seeds, cut(host_edges(named.select("host", "html"))),
+                       rounds)
     scores = scores.withColumnRenamed("host", "_host")
     zero = F.lit(0.0)
-    return (judged.join(scores, F.col("host") == F.col("_host"), "left")
+    done = (judged.join(scores, F.col("host") == F.col("_host"), "left")
             .withColumn("trust", F.coalesce("trust", zero))
             .withColumn("distrust", F.coalesce("distrust", zero))
             .withColumn("verdict", F.coalesce(
                 verdict, F.when(F.col("distrust") - F.col("trust")
-                                >= threshold, "block").otherwise("allow")))
-            .select(*pages.columns, *new))
+                                >= threshold, "block").otherwise("allow"))))
+    return widened(done, pages.columns, own, *new)
 
 
 def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
