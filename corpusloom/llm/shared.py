@@ -133,43 +133,34 @@ def ranked(df: DataFrame, group: str, key: list[str], name: str = "rank",
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (node, component).
 
-    Each round every node takes its smallest neighbour as parent, parents are
-    followed to the root by doubling, and edges move to the roots; so at least
-    half of the nodes that still have edges go in each round. The component is
-    its smallest node. Nodes without an edge to another node do not appear.
-    Each round is cut by a checkpoint; nothing is collected.
+    Each round every node moves to that one of itself and its neighbours which
+    a new random order puts first, and edges move along; a star is one node
+    after a round, and of a path half of the nodes stay. The component is its
+    smallest node. Nodes without an edge to another node do not appear. Each
+    round is cut by a checkpoint; nothing is collected.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
     links = cut(both.where("a <> b").distinct())
-    label = None
+    place = None
+    turn = 0
     while not links.isEmpty():
-        parent = cut(links.groupBy("a").agg(F.min("b").alias("p"))
-                     .select(F.col("a").alias("node"),
-                             F.least("a", "p").alias("p")))
-        while True:
-            up = parent.select(F.col("node").alias("_n"),
-                               F.col("p").alias("_p"))
-            parent = cut(parent.join(up, F.col("p") == F.col("_n"))
-                         .select("node", F.col("_p").alias("p"),
-                                 (F.col("_p") < F.col("p")).alias("moved")))
-            if parent.where("moved").isEmpty():
-                break
-            parent = parent.select("node", "p")
-        parent = parent.select("node", "p")
-        if label is None:
-            label = parent.select("node", F.col("p").alias("component"))
+        turn += 1
+        own, other = (F.struct(F.xxhash64(c, F.lit(turn)).alias("h"),
+                               F.col(c).alias("node")) for c in ("a", "b"))
+        moves = cut(links.groupBy("a").agg(F.min(other).alias("first"))
+                    .select(F.col("a").alias("node"),
+                            F.least(own, "first")["node"].alias("to")))
+        if place is None:
+            place = moves.withColumnRenamed("to", "at")
         else:
-            moved = parent.withColumnRenamed("node", "_n")
-            label = label.join(moved, F.col("component") == F.col("_n"),
-                               "left").select(
-                "node", F.coalesce("p", "component").alias("component"))
-        label = cut(label)
-        pa = parent.toDF("a", "pa")
-        pb = parent.toDF("b", "pb")
-        links = cut(links.join(pa, "a").join(pb, "b").where("pa <> pb")
-                    .select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+            place = cut(place.join(moves.toDF("at", "to"), "at", "left")
+                        .select("node", F.coalesce("to", "at").alias("at")))
+        links = cut(links.join(moves.toDF("a", "na"), "a")
+                    .join(moves.toDF("b", "nb"), "b").where("na <> nb")
+                    .select(F.col("na").alias("a"), F.col("nb").alias("b"))
                     .distinct())
-    if label is None:
+    if place is None:
         return links.select(F.col("a").alias("node"),
                             F.col("b").alias("component"))
-    return label
+    label = place.groupBy("at").agg(F.min("node").alias("component"))
+    return cut(place.join(label, "at").select("node", "component"))
