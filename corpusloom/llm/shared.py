@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(infer, before)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a table: smaller than a checkpoint if it has many rows.
+
+    It stays in the shared folder, which is cleared with its checkpoints.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let Python workers take so many rows at a time, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
