@@ -35,12 +35,15 @@ def fit_centroids(weights: DataFrame, key: str = "doc_id") -> DataFrame:
         F.col("weight") * F.col("weight")).over(label)))
 
 
-def centroid_bound(corpus: DataFrame, max_features: int = MAX_FEATURES,
+def centroid_bound(corpus: DataFrame,
+                   max_features: int | None = MAX_FEATURES,
                    label_col: str = "category") -> int | None:
     """Largest number of centroid rows, if it can be shown to be small.
 
     Reads the label column alone.
     """
+    if max_features is None:
+        return None
     labels = BROADCAST_ROWS // (max_features + 1)
     seen = corpus.select(label_col).distinct().limit(labels + 1).count()
     return seen * (max_features + 1) if seen <= labels else None
@@ -116,9 +119,13 @@ def dense_scores(vectors: DataFrame, centroids: DataFrame, key: str,
     """Cosine of dense vectors and centroids, with both norms taken."""
     value = F.col(vector_col).cast("array<double>")
     norm = F.sqrt(F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.select(key, F.when(norm > 0, F.transform(
-        value, lambda x: x / norm)).otherwise(value).alias("unit"))
-    by_key = unit.repartition(key)
+    # a norm inside the lambda would be taken once per element; the shuffle
+    # keeps the two steps apart
+    by_key = vectors.select(key, value.alias("value"), norm.alias("norm")
+                            ).repartition(key)
+    by_key = by_key.select(key, F.when(F.col("norm") > 0, F.transform(
+        "value", lambda x: x / F.col("norm"))).otherwise(F.col("value"))
+        .alias("unit"))
     return label_scores(dense_weights(by_key, key, "unit"), centroids,
                         None, key)
 

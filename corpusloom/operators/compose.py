@@ -122,15 +122,22 @@ def generate(people: DataFrame, titles: DataFrame | None = None,
     return with_document(with_title(extract(people), titles), templates)
 
 
-def prompt(text: Column, category: Column | None = None) -> Column:
-    """The text to send to a generation service, one per row."""
+def prompt(text: Column, category: Column | None = None,
+           max_chars: int | None = fixed.PROMPT_CHARS) -> Column:
+    """The text to send to a generation service, one per row.
+
+    The text is cut to ``max_chars`` characters, ``None`` sends all of it.
+    """
     hint = F.lit("")
     if category is not None:
         hint = F.when(category != "", F.concat(
             F.lit("Predicted category: "), category, F.lit("."))
         ).otherwise(F.lit(""))
+    body = filled(text)
+    if max_chars is not None:
+        body = F.substring(body, 1, max_chars)
     return F.concat(F.lit(fixed.PROMPT_HEAD), hint, F.lit(fixed.PROMPT_BODY),
-                    F.substring(filled(text), 1, fixed.PROMPT_CHARS))
+                    body)
 
 
 def parse_response(body: Column) -> Column:

@@ -31,16 +31,24 @@ def normalize_queries(queries: DataFrame, top_n: int = DEFAULT_TOP_N
 
 
 def query_bounds(queries: DataFrame) -> tuple[int, int | None]:
-    """Largest ``top_n``, and a bound on query terms if that is small.
+    """Largest ``top_n``, and a bound on query tokens if that is small.
 
-    A text of c characters has fewer than c uni- and bigrams, and every query
-    has one row more for itself.
+    Folding makes at most three tokens of a character, and every query has one
+    row more for itself.
     """
     n, size = queries.agg(F.max("top_n"), F.coalesce(F.sum(
-        F.length(tx.filled(F.col("text"))) + 1), F.lit(0))).first()
+        3 * F.length(tx.filled(F.col("text"))) + 1), F.lit(0))).first()
     return n or 0, size if size <= BROADCAST_ROWS else None
 
 
+def gram_bound(rows: int | None, ngram_range: tuple[int, int]) -> int | None:
+    """Bound on the n-grams of so many tokens, if that is small."""
+    if rows is None:
+        return None
+    grams = rows * (ngram_range[1] - ngram_range[0] + 1)
+    return grams if grams <= BROADCAST_ROWS else None
+
+
 def similarities(weights: DataFrame, query_weights: DataFrame,
                  rows: int | None = None) -> DataFrame:
     """``(query_id, doc_id, category, score)`` of pairs that share a term.
@@ -90,7 +98,8 @@ def _fillers(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     own_zero = join_small(own, tail.drop("r"), "category", None).select(
         "query_id", "doc_id", "category", F.lit(0.0).alias("score"))
     masked = spread(ask.where(~free), F.slice(F.filter(
-        "recent", lambda d: d["category"] != F.col("category_filter")),
+        "recent", lambda d: ~d["category"].eqNullSafe(
+            F.col("category_filter"))),
         1, n), MASKED)
     return open_zero.unionByName(own_zero).unionByName(masked)
 
@@ -100,8 +109,9 @@ def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
           ) -> DataFrame:
     """``(query_id, rank, doc_id, category, score)``.
 
-    ``docs`` is ``(doc_id, category)`` of the whole index. Score falling, later documents first on ties. Documents outside the
-    filtered category are not removed: they follow at -1.
+    ``docs`` is ``(doc_id, category)`` of the whole index. Score falling, later
+    documents first on ties. Documents outside the filtered category, or
+    without one, are not removed: they follow at -1.
     """
     if n <= 0:
         raise ValueError("top_n must be positive")
@@ -139,7 +149,7 @@ def present(matches: DataFrame, corpus: DataFrame, rows: int | None = None
                     "resume_snippet"))
 
 
-def without_category(df: DataFrame) -> DataFrame:
+def placeholder_category(df: DataFrame) -> DataFrame:
     """Give a corpus without categories the placeholder label."""
     return df if "category" in df.columns else df.withColumn(
         "category", F.lit("?"))

@@ -20,9 +20,16 @@ def smooth_idf(df: Column, n_docs: Column) -> Column:
     return F.ln((1 + n_docs) / (1 + df)) + 1
 
 
-def fit_vocabulary(prepared: DataFrame, *, max_features: int = MAX_FEATURES,
+def with_mark(max_features: int | None) -> int | None:
+    """Row bound of a vocabulary, which holds the document mark as well."""
+    return None if max_features is None else max_features + 1
+
+
+def fit_vocabulary(prepared: DataFrame, *,
+                   max_features: int | None = MAX_FEATURES,
                    ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
-    """``(term, term_idx, cf, df, idf)``, at most ``max_features`` terms.
+    """``(term, term_idx, cf, df, idf)``, at most ``max_features`` terms;
+    all terms if it is ``None``.
 
     One row more stands for the document mark: ``term_idx`` -1, ``df`` the
     number of documents, ``idf`` 0. It is counted in the same pass as the
@@ -34,6 +41,15 @@ def fit_vocabulary(prepared: DataFrame, *, max_features: int = MAX_FEATURES,
     counts = ngrams.corpus_counts(ngrams.term_counts(
         prepared, keep=keep, ngram_range=ngram_range, mark_docs=True))
     mark = F.col("term") == ngrams.DOC_MARK
+    if max_features is None:
+        marks = counts.where(mark)
+        terms = ngrams.number_terms(counts.where(~mark), None)
+        return terms.select(
+            "term", "term_idx", "cf", "df", smooth_idf(
+                F.col("df"), marks.agg(F.max("df")).scalar()).alias("idf")
+        ).unionByName(marks.select(
+            "term", F.lit(DOC_IDX).alias("term_idx"), "cf", "df",
+            F.lit(0.0).alias("idf")))
     top = counts.orderBy(F.desc(mark), F.desc("cf"), F.asc("term")).limit(
         max_features + 1)
     # from here on there are max_features + 1 rows at most
@@ -61,7 +77,7 @@ def weigh(counts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def transform(prepared: DataFrame, vocabulary: DataFrame, *,
-              max_features: int = MAX_FEATURES,
+              max_features: int | None = MAX_FEATURES,
               ngram_range: tuple[int, int] = (1, 2),
               key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, keep..., term_idx, tf, weight)`` for prepared texts.
@@ -72,7 +88,7 @@ def transform(prepared: DataFrame, vocabulary: DataFrame, *,
     index = vocabulary.select("term", "term_idx", "idf")
     grams = ngrams.explode_ngrams(prepared, ngram_range=ngram_range,
                                   keep=(key, *keep), mark_docs=True)
-    counts = (join_small(grams, index, "term", max_features + 1)
+    counts = (join_small(grams, index, "term", with_mark(max_features))
               .groupBy(key, *keep, "term_idx")
               .agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf")))
     return weigh(counts, key)
@@ -84,8 +100,8 @@ def terms_only(weights: DataFrame) -> DataFrame:
 
 
 def with_terms(weights: DataFrame, vocabulary: DataFrame,
-               max_features: int = MAX_FEATURES) -> DataFrame:
+               max_features: int | None = MAX_FEATURES) -> DataFrame:
     """Spell ``term_idx`` out again."""
     index = vocabulary.select("term", "term_idx")
     return join_small(terms_only(weights), index, "term_idx",
-                      max_features + 1)
+                      with_mark(max_features))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,39 +27,50 @@ class CorpusModel:
     ``vocabulary (term, term_idx, cf, df, idf)``,
     ``weights (doc_id, category, term_idx, tf, weight)`` and
     ``centroids (category, label_first_id, term_idx, weight, norm)``;
-    ``docs (doc_id, category)`` lists the documents of the index.
+    ``docs (doc_id, category)`` lists the documents of the index. ``ready`` are
+    the prepared rows of the fit, if it has not been stored. A corpus without
+    categories is not ``labelled``: filters are skipped then.
     """
 
     vocabulary: DataFrame
     weights: DataFrame
     centroids: DataFrame
     docs: DataFrame
-    max_features: int
+    max_features: int | None
     ngram_range: tuple[int, int]
     centroid_rows: int | None = None
     options: tuple = ()
+    ready: DataFrame | None = None
+    labelled: bool = True
 
     @classmethod
-    def fit(cls, corpus: DataFrame, *, max_features: int = tfidf.MAX_FEATURES,
+    def fit(cls, corpus: DataFrame, *,
+            max_features: int | None = tfidf.MAX_FEATURES,
             ngram_range: tuple[int, int] = (1, 2), **options) -> CorpusModel:
         """Fit on raw ``(doc_id, category, text)`` rows.
 
         ``options`` go to ``prepare``. Counting and weighting both read the
-        same shuffle of token rows by document; nothing is cached.
+        same shuffle of token rows by document; nothing is cached. Without a
+        ``category`` column all documents have the label ``?``.
+        ``max_features=None`` keeps every term.
         """
-        require_columns(corpus, "doc_id", "category", "text")
+        require_columns(corpus, "doc_id", "text")
+        labelled = "category" in corpus.columns
+        corpus = matcher.placeholder_category(corpus)
         ready = preprocess.prepare(corpus, **options)
         bound = centroid.centroid_bound(corpus, max_features)
         return cls.fit_prepared(ready, max_features=max_features,
                                 ngram_range=ngram_range, centroid_rows=bound,
-                                options=tuple(options.items()))
+                                options=tuple(options.items()),
+                                labelled=labelled)
 
     @classmethod
     def fit_prepared(cls, ready: DataFrame, *,
-                     max_features: int = tfidf.MAX_FEATURES,
+                     max_features: int | None = tfidf.MAX_FEATURES,
                      ngram_range: tuple[int, int] = (1, 2),
                      centroid_rows: int | None = None,
-                     options: tuple = ()) -> CorpusModel:
+                     options: tuple = (), labelled: bool = True
+                     ) -> CorpusModel:
         """Fit on ``(doc_id, category, tokens)`` rows."""
         require_columns(ready, "doc_id", "category", "tokens")
         vocabulary = tfidf.fit_vocabulary(
@@ -68,40 +80,64 @@ class CorpusModel:
             ngram_range=ngram_range, keep=("category",))
         docs = ngrams.doc_rows(ready, ngram_range=ngram_range)
         return cls(vocabulary, weights, centroid.fit_centroids(weights), docs,
-                   max_features, ngram_range, centroid_rows, options)
+                   max_features, ngram_range, centroid_rows, options, ready,
+                   labelled)
 
     # -- storage ---------------------------------------------------------
 
     def save(self, path: str) -> CorpusModel:
         """Write the fitted tables and return a model that reads them.
 
-        The weights are written from the stored vocabulary and the centroids
-        from the stored weights, so each step of the fit runs once.
+        Each table is made from the stored one before it, so each step of the
+        fit runs once. ``meta``, with the parameters of the fit, comes last: a
+        folder without it is no model.
         """
         spark = self.vocabulary.sparkSession
-        if self.vocabulary.where(F.col("term_idx") >= 0).isEmpty():
-            raise ValueError("empty vocabulary: no terms in the corpus")
         self.vocabulary.write.parquet(f"{path}/vocabulary")
-        self.weights.write.parquet(f"{path}/weights")
+        vocabulary = spark.read.parquet(f"{path}/vocabulary")
+        if vocabulary.where(F.col("term_idx") >= 0).isEmpty():
+            raise ValueError("empty vocabulary: no terms in the corpus")
+        weights = self.weights if self.ready is None else tfidf.transform(
+            self.ready, vocabulary, max_features=self.max_features,
+            ngram_range=self.ngram_range, keep=("category",))
+        weights.write.parquet(f"{path}/weights")
         stored = spark.read.parquet(f"{path}/weights")
         centroid.fit_centroids(stored).write.parquet(f"{path}/centroids")
-        return CorpusModel.load(spark, path, max_features=self.max_features,
-                                ngram_range=self.ngram_range,
-                                options=self.options)
+        plain = {}
+        for name, value in self.options:
+            if isinstance(value, DataFrame):
+                value.write.parquet(f"{path}/{name}")
+            elif isinstance(value, (set, frozenset)):
+                plain[name] = sorted(value)
+            elif isinstance(value, (str, int, float, type(None))):
+                plain[name] = value
+            else:
+                plain[name] = list(value)
+        meta = {"max_features": self.max_features,
+                "ngram_range": list(self.ngram_range),
+                "labelled": self.labelled, "options": plain,
+                "tables": [n for n, v in self.options
+                           if isinstance(v, DataFrame)]}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(
+            1).write.parquet(f"{path}/meta")
+        return CorpusModel.load(spark, path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, *,
-             max_features: int = tfidf.MAX_FEATURES,
-             ngram_range: tuple[int, int] = (1, 2),
-             options: tuple = ()) -> CorpusModel:
+    def load(cls, spark: SparkSession, path: str) -> CorpusModel:
+        """A stored model, with the parameters that it was fitted with."""
         try:
+            meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
             tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+            options = meta["options"] | {
+                t: spark.read.parquet(f"{path}/{t}") for t in meta["tables"]}
         except AnalysisException as error:
             raise NotFittedError(f"no fitted model at {path}") from error
         docs = tables["weights"].where(
             F.col("term_idx") == tfidf.DOC_IDX).select("doc_id", "category")
-        return cls(**tables, docs=docs, max_features=max_features,
-                   ngram_range=ngram_range, options=options,
+        return cls(**tables, docs=docs, max_features=meta["max_features"],
+                   ngram_range=tuple(meta["ngram_range"]),
+                   options=tuple(options.items()),
+                   labelled=meta["labelled"],
                    centroid_rows=centroid.small_enough(tables["centroids"]))
 
     # -- use -------------------------------------------------------------
@@ -150,7 +186,11 @@ class CorpusModel:
         their own ``top_n`` and ``category_filter``. With ``corpus`` the
         result is shaped for reading, else it has ids and raw scores."""
         asked = matcher.normalize_queries(queries, top_n)
+        if not self.labelled:
+            asked = asked.withColumn("category_filter",
+                                     F.lit(None).cast("string"))
         n, rows = matcher.query_bounds(asked)
+        rows = matcher.gram_bound(rows, self.ngram_range)
         if n <= 0:
             raise ValueError("no queries, or top_n is not positive")
         ready = preprocess.prepare_texts(asked, key="query_id",

@@ -290,3 +290,65 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     want = stored.match(asked.where(F.length("text") >= 10), docs)
     assert sorted(scoring.read_results(spark, str(tmp_path / "mo"))
                   .drop("batch_id").collect()) == sorted(want.collect())
+
+
+def test_stored_model_keeps_its_parameters(spark, docs, tmp_path):
+    fitted = CorpusModel.fit(docs, max_features=None, ngram_range=(1, 3),
+                             normalize="stem", extra_stopwords={"beta"})
+    stored = fitted.save(str(tmp_path / "m"))
+    again = CorpusModel.load(spark, str(tmp_path / "m"))
+    assert (again.max_features, again.ngram_range) == (None, (1, 3))
+    assert dict(again.options) == {"normalize": "stem",
+                                   "extra_stopwords": ["beta"]}
+    texts = docs.select("doc_id", "text").where("doc_id < 5")
+    want = fitted.classify(texts, 2).orderBy("doc_id", "rank").collect()
+    for model in (stored, again):
+        got = model.classify(texts, 2).orderBy("doc_id", "rank").collect()
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert [r.score for r in got] == pytest.approx(
+            [r.score for r in want])
+    with pytest.raises(NotFittedError):
+        CorpusModel.load(spark, str(tmp_path / "m" / "weights"))
+
+
+def test_unlimited_vocabulary_is_the_whole_of_a_large_one(docs):
+    ready = preprocess.prepare(docs)
+    whole = tfidf.fit_vocabulary(ready, max_features=None)
+    large = tfidf.fit_vocabulary(ready, max_features=100_000)
+    assert sorted(whole.collect()) == sorted(large.select(
+        whole.columns).collect())
+
+
+def test_documents_without_label_follow_masked(spark):
+    corpus = spark.createDataFrame(
+        [(1, "red", "alpha beta gamma delta"),
+         (2, None, "alpha beta gamma epsilon"),
+         (3, None, "zeta eta theta iota")],
+        "doc_id long, category string, text string")
+    asked = spark.createDataFrame([(1, "alpha beta gamma", 3, "red")],
+                                  "query_id long, text string, top_n int, "
+                                  "category_filter string")
+    got = CorpusModel.fit(corpus).match(asked).orderBy("rank").collect()
+    assert [(r.doc_id, r.score < 0) for r in got] == [
+        (1, False), (3, True), (2, True)]
+
+
+def test_corpus_without_labels_skips_the_filter(spark):
+    corpus = spark.createDataFrame(
+        [(1, "alpha beta gamma delta"), (2, "zeta eta theta iota")],
+        "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta gamma", 2, "red")],
+                                  "query_id long, text string, top_n int, "
+                                  "category_filter string")
+    got = CorpusModel.fit(corpus).match(asked, corpus).orderBy(
+        "rank").collect()
+    assert [r.Category for r in got] == ["?", "?"]
+    assert got[0].similarity_pct > 0 and got[1].similarity_pct == 0
+
+
+def test_prompt_may_hold_the_whole_text(spark):
+    from corpusloom.operators import compose
+    df = spark.createDataFrame([("x" * 5000,)], "text string")
+    cut, whole = df.select(compose.prompt(F.col("text")), compose.prompt(
+        F.col("text"), max_chars=None)).first()
+    assert len(whole) - len(cut) == 2000
