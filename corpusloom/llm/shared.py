@@ -156,7 +156,9 @@ def components(edges: DataFrame) -> DataFrame:
     turn = 0
     while not links.isEmpty():
         turn += 1
-        own, other = (F.struct(F.xxhash64(c, F.lit(turn)).alias("h"),
+        # Spark puts numbers into the code that it compiles, but not texts: the
+        # rounds share one compiled plan
+        own, other = (F.struct(F.xxhash64(c, F.lit(f"round {turn}")).alias("h"),
                                F.col(c).alias("node")) for c in ("a", "b"))
         moves = cut(links.groupBy("a").agg(F.min(other).alias("first"))
                     .select(F.col("a").alias("node"),
