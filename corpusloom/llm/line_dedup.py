@@ -23,6 +23,13 @@ _LONG = 32_768  # words; counters of 16 bits hold less
 _BOUNDS = [64 * i // (DISTANCE + 2) for i in range(DISTANCE + 3)]
 
 
+def _block_masks() -> list[int]:
+    """Bits of each pair of blocks, as signed numbers."""
+    sums = [sum((1 << _BOUNDS[i + 1]) - (1 << _BOUNDS[i]) for i in pair)
+            for pair in combinations(range(DISTANCE + 2), 2)]
+    return [m - (1 << 64) if m >> 63 else m for m in sums]
+
+
 def normalised(line: Column) -> Column:
     """Lower case, runs of blanks as one space, none at the ends."""
     return F.lower(F.trim(F.regexp_replace(
@@ -69,31 +76,33 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _with_simhash(lines: DataFrame) -> DataFrame:
-    """Row per line: key, line_no, hash, sim."""
+    """Row per line: key, line_no, hash, len, sim."""
     split = lines.withColumn("words", F.split("norm", " "))
     far = F.when(F.size("words") >= _LONG, _long_simhash("words"))
     near = F.when(F.size("words") < _LONG, F.col("words")).otherwise(
         F.array(F.lit("")))
-    ids = ["row", "key", "line_no", "hash", "far"]
+    ids = ["row", "key", "line_no", "hash", "len", "far"]
     sums = [F.sum(F.expr(c)).alias(f"s{g}")
             for g, c in enumerate(_counts("x", 4))]
     summed = (split.withColumn("far", far)
+              .withColumn("len", F.length("norm"))
               .select(*ids, F.explode(near).alias("word"))
               .select(*ids, F.xxhash64("word").alias("x"))
               .groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), *sums))
-    return summed.select("key", "line_no", "hash", F.coalesce("far", F.expr(
+    return summed.select("key", "line_no", "hash", "len", F.coalesce("far", F.expr(
         _majority([f"s{g}" for g in range(16)], "n", 4))).alias("sim"))
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
-    """Row per class and pair of blocks: sign, hash, sim."""
-    masks = []
-    for pair in combinations(range(DISTANCE + 2), 2):
-        mask = sum((1 << _BOUNDS[i + 1]) - (1 << _BOUNDS[i]) for i in pair)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    """Row per class and pair of blocks: sign, place, hash, sim, len."""
     signs = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m)))
-                      for i, m in enumerate(masks)])
-    return classes.select("hash", "sim", F.explode(signs).alias("sign"))
+                      for i, m in enumerate(_block_masks())])
+    return classes.select("hash", "sim", "len",
+                          F.posexplode(signs).alias("place", "sign"))
+
+
+def _most_edits(one: str, two: str, similarity: float) -> str:
+    return f"cast(floor({1 - similarity:.6f} * greatest({one}, {two})) as int)"
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str,
@@ -105,8 +114,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str,
                       "hash", wanted).groupBy("hash").agg(
         F.max("norm").alias("norm"))
     texts = cut(texts.join(wanted, "hash"))
-    longer = "greatest(length(ta), length(tb))"
-    most = f"cast(floor({1 - similarity:.6f} * {longer}) as int)"
+    most = _most_edits("length(ta)", "length(tb)", similarity)
     return cut(pairs.join(texts.toDF("a", "ta"), "a")
                .join(texts.toDF("b", "tb"), "b")
                .where(f"abs(length(ta) - length(tb)) <= {most}")
@@ -131,7 +139,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = cut(_with_simhash(lines_of(docs, key, text)))
     classes = cut(rows.groupBy("hash").agg(
-        F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"),
+        F.min("sim").alias("sim"), F.min("len").alias("len"),
+        F.count(F.lit(1)).alias("n"),
         F.min(F.struct("key", "line_no")).alias("first")))
     signs = _blocks(classes)
     shared = cut(signs.groupBy("sign").agg(
@@ -140,15 +149,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hubs = shared.where("size > 2").select("sign", "a")
     members = cut(may_be_in(signs, "sign", hubs, FILTER_WORDS)
                   .join(hubs, "sign"))
-    sims = classes.select("hash", "sim")
+    sims = classes.select("hash", "sim", "len")
     stars = cut(shared.where("size = 2").select("a", "b").union(
         members.where("hash <> a").select("a", "hash")).distinct()
-        .join(sims.toDF("a", "xa"), "a").join(sims.toDF("b", "xb"), "b")
-        .where(f"bit_count(xa ^ xb) <= {DISTANCE}").select("a", "b"))
+        .join(sims.toDF("a", "xa", "la"), "a")
+        .join(sims.toDF("b", "xb", "lb"), "b")
+        .where(f"bit_count(xa ^ xb) <= {DISTANCE} and abs(la - lb) <= "
+               + _most_edits("la", "lb", similarity)).select("a", "b"))
     links = _verified(stars, docs, key, text, similarity)
     label = components(links)
-    more = _verified(_open_pairs(members, label, stars), docs, key, text,
-                     similarity)
+    more = _verified(_open_pairs(members, label, stars, similarity), docs, key,
+                     text, similarity)
     if not more.isEmpty():
         label = components(links.union(more))
     named = (classes.join(label, F.col("hash") == F.col("node"), "left")
@@ -166,20 +177,27 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
            & (F.col("line_no") == F.col("keep.line_no")))).alias("removed"))
 
 
-def _open_pairs(members: DataFrame, label: DataFrame, stars: DataFrame
-                ) -> DataFrame:
-    """Close pairs in blocks that still hold different components."""
-    named = cut(members.select("sign", "hash", "sim").join(
+def _open_pairs(members: DataFrame, label: DataFrame, stars: DataFrame,
+                similarity: float) -> DataFrame:
+    """Close pairs in blocks that still hold different components.
+
+    A pair is made in the first pair of blocks that it agrees in alone.
+    """
+    named = cut(members.select("sign", "place", "hash", "sim", "len").join(
         label.withColumnRenamed("node", "hash"), "hash", "left")
         .withColumn("component", F.coalesce("component", "hash")))
     open_ = (named.groupBy("sign").agg(F.min("component").alias("lo"),
                                        F.max("component").alias("hi"))
              .where("lo < hi").select("sign"))
     rest = cut(named.join(open_, "sign"))
+    first = " ".join(f"when (x.sim ^ y.sim) & {m}L = 0 then {i}"
+                     for i, m in enumerate(_block_masks()))
     pairs = rest.alias("x").join(rest.alias("y"), F.expr(
         "x.sign = y.sign and x.hash < y.hash and x.component <> y.component "
-        f"and bit_count(x.sim ^ y.sim) <= {DISTANCE}")).select(
-        F.col("x.hash").alias("a"), F.col("y.hash").alias("b")).distinct()
+        f"and bit_count(x.sim ^ y.sim) <= {DISTANCE} "
+        f"and abs(x.len - y.len) <= {_most_edits('x.len', 'y.len', similarity)} "
+        f"and x.place = case {first} end")).select(
+        F.col("x.hash").alias("a"), F.col("y.hash").alias("b"))
     return cut(pairs.join(stars, ["a", "b"], "left_anti"))
 
 
