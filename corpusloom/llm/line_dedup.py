@@ -1,10 +1,12 @@
 """Removal of repeated and nearly repeated lines, in DataFrame functions.
 
 Lines are normalised and hashed; equal ones are one class. Each class gets a
-64-bit SimHash of its words. Two lines whose SimHashes differ in at most
-DISTANCE bits agree in two of DISTANCE + 2 blocks (pigeonhole), so classes meet
-on pairs of blocks. Classes that meet are verified by the edit similarity of
-their texts; of each connected group one occurrence stays.
+64-bit SimHash of its distinct words; if each occurrence counted, the few very
+common words of a language would make all of its long lines alike. Two lines
+whose SimHashes differ in at most DISTANCE bits agree in two of DISTANCE + 2
+blocks (pigeonhole), so classes meet on pairs of blocks. Classes that meet are
+verified by the edit similarity of their texts; of each connected group one
+occurrence stays.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def _majority(sums: list[str], n: str, lanes: int) -> str:
 
 
 def _long_simhash(words: str) -> Column:
-    """SimHash of an array of words of any length, without a shuffle."""
+    """SimHash of an array of any length, without a shuffle."""
     sums = ", ".join(f"aggregate({words}, 0L, (a, w) -> a + {c})"
                      for c in _counts("xxhash64(w)", 2))
     bits = _majority([f"s[{g}]" for g in range(32)], f"size({words})", 2)
@@ -77,7 +79,8 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _with_simhash(lines: DataFrame) -> DataFrame:
     """Row per line: key, line_no, hash, len, sim."""
-    split = lines.withColumn("words", F.split("norm", " "))
+    split = lines.withColumn("words", F.array_distinct(
+        F.split("norm", " ")))
     far = F.when(F.size("words") >= _LONG, _long_simhash("words"))
     near = F.when(F.size("words") < _LONG, F.col("words")).otherwise(
         F.array(F.lit("")))
