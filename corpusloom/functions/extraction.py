@@ -73,8 +73,8 @@ def years_digits(text: Column) -> Column:
 
 
 def years(text: Column) -> Column:
-    """:func:`years_digits` as a bigint, null where it does not fit one."""
-    return years_digits(text).try_cast("bigint")
+    """:func:`years_digits` as a decimal(38, 0), null where it does not fit."""
+    return years_digits(text).try_cast("decimal(38,0)")
 
 
 def pick_title(category: Column, mapped: Column, found: Column) -> Column:

@@ -54,19 +54,6 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def split_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer tasks than there are cores.
-
-    A file with one row group is one task, whatever the cluster. Large inputs
-    have many splits and are left alone.
-    """
-    plan = df._jdf.queryExecution().executedPlan()
-    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        return df  # already shuffles, and asking would run it
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def keep_rows(df: DataFrame, column: str, condition: Column) -> DataFrame:
     """Filter on a computed ``column`` without computing it twice.
 

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
-from corpusloom.operators.common import (BROADCAST_ROWS, has_at_most,
-                                         join_small)
+from corpusloom.operators.common import join_small
 
 
 def _shorter(form: Column) -> Column:
@@ -88,14 +87,14 @@ def lemmatize_tokens(df: DataFrame, lexicon: DataFrame,
     """Replace ``tokens`` by their lemmas, keeping order and empty rows.
 
     The rules run once per distinct token. Only forms that do change are
-    joined back, and that side is broadcast only after a count of it.
+    joined back, with hot tokens dealt out over salts; nothing runs while the
+    plan is built.
     """
     forms = df.select(F.explode("tokens").alias("form")).distinct()
     changed = (lemma_map(forms, lexicon, exceptions)
                .where(F.col("form") != F.col("lemma")))
-    rows = BROADCAST_ROWS if has_at_most(changed, BROADCAST_ROWS) else None
     spread = df.select(key, F.posexplode("tokens").alias("pos", "form"))
-    placed = (join_small(spread, changed, "form", rows, "left")
+    placed = (join_small(spread, changed, "form", None, "left")
               .select(key, F.struct("pos", F.coalesce("lemma", "form")
                                     .alias("token")).alias("t")))
     rebuilt = placed.groupBy(key).agg(F.sort_array(F.collect_list("t"))

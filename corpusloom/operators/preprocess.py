@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning, stemming, tokens
 from corpusloom.operators import lemma
-from corpusloom.operators.common import (keep_rows, require_columns,
-                                         split_small_scan)
+from corpusloom.operators.common import keep_rows, require_columns
 
 MIN_CORPUS_CHARS = 10
 
@@ -60,8 +59,8 @@ def prepare(corpus: DataFrame, *, text_col: str = "text",
     """
     keep = list(keep)
     require_columns(corpus, key, text_col, *keep)
-    source = split_small_scan(
-        corpus.withColumnRenamed(text_col, "text").select(key, *keep, "text"))
+    source = corpus.withColumnRenamed(text_col, "text").select(
+        key, *keep, "text")
     ready = with_tokens(with_cleaned(source), key=key, **options).select(
         key, *keep, "tokens")
     if min_chars is not None:

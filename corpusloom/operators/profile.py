@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.tokens import stopword_set
-from corpusloom.operators.common import split_small_scan, top_rows
+from corpusloom.operators.common import top_rows
 
 
 def overview(corpus: DataFrame) -> DataFrame:
@@ -23,10 +23,8 @@ def value_counts(corpus: DataFrame, column: str = "category") -> DataFrame:
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
-    rows = split_small_scan(corpus)
-    return rows.withColumn("char_len", tx.char_count(F.col("text"))
-                             ).withColumn("word_count",
-                                          tx.word_count(F.col("text")))
+    return (corpus.withColumn("char_len", tx.char_count(F.col("text")))
+            .withColumn("word_count", tx.word_count(F.col("text"))))
 
 
 def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -88,8 +86,7 @@ def top_keywords(corpus: DataFrame, n: int = 20, min_length: int = 4,
     most of the corpus does not land in one task.
     """
     listed = stopword_set(stopwords)
-    rows = split_small_scan(corpus.select("doc_id", "category", "text"))
-    seen = (rows.select("doc_id", "category", F.posexplode(
+    seen = (corpus.select("doc_id", "category", F.posexplode(
         tx.words(F.lower("text"))).alias("pos", "keyword"))
         .where((F.length("keyword") >= min_length)
                & F.col("keyword").rlike(r"^\p{L}+\z")

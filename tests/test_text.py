@@ -140,6 +140,8 @@ def test_years(spark):
     assert column(spark, list(cases), extraction.years_digits) == list(
         cases.values())
     assert column(spark, ["9" * 50 + " years"], extraction.years) == [None]
+    assert column(spark, ["9" * 38 + " years"], extraction.years) == [
+        Decimal("9" * 38)]
 
 
 def test_text_helpers(spark):
