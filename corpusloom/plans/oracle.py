@@ -607,7 +607,7 @@ def statements() -> dict[str, str]:
     out["q_extract_terms"] = facts_ + (
         f"SELECT doc_id, {joined('skills', ', ')} AS skills, "
         "len(skills)::INT AS n_skills FROM found")
-    out["q_years"] = facts_ + "SELECT doc_id, years::BIGINT AS years FROM found"
+    out["q_years"] = facts_ + "SELECT doc_id, years::VARCHAR AS years FROM found"
     out["q_title"] = facts_ + "SELECT doc_id, category, title FROM titled"
     out["q_group_terms"] = facts_ + (
         "SELECT doc_id, len(groups)::INT AS n_groups, "

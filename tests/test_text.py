@@ -3,6 +3,7 @@
 import math
 import re
 import unicodedata
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
