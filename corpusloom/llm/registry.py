@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from corpusloom.llm import (chat_format, exact_dedup, language_id,
                             line_dedup, mixing, ngram_join, packing,
-                            substring_dedup, url_filter, vector_dedup)
+                            periodic_runs, substring_dedup, url_filter,
+                            vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 SQL = {
