@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import (chat_format, exact_dedup, language_id,
+from corpusloom.llm import (chat_format, exact_dedup, html_text, language_id,
                             line_dedup, mixing, ngram_join, packing,
                             periodic_runs, substring_dedup, url_filter,
                             vector_dedup)
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_html_extraction": html_text.op13_html_extraction,
 }
 
 SQL = {
