@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import (chat_format, exact_dedup, html_text, language_id,
-                            line_dedup, mixing, ngram_join, packing,
-                            periodic_runs, substring_dedup, url_filter,
-                            vector_dedup)
+from corpusloom.llm import (chat_format, conversation_repair, exact_dedup,
+                            html_text, language_id, line_dedup, mixing,
+                            ngram_join, packing, periodic_runs,
+                            substring_dedup, url_filter, vector_dedup)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_html_extraction": html_text.op13_html_extraction,
 }
