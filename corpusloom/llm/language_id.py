@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import free_name, small_batches, table
+from corpusloom.llm.shared import free_name, table
 
 BUCKETS = 1 << 14           # hashed character n-grams
 SAMPLE_PER_LANGUAGE = 1_000  # most texts per language that a fit reads
@@ -162,7 +162,6 @@ def fit(labelled: DataFrame, key: str = "doc_id", lang: str = "lang",
     per language; the driver gets one count per language and bucket. Without
     any label the model knows no language and answers ``und``.
     """
-    small_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(lang).isNotNull())
     texts = sample(labelled, key, lang, text, per_language)
 
@@ -233,7 +232,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     that already have one of the three names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import (components, cut, may_be_in, small_batches,
-                                   table)
+from corpusloom.llm.shared import (components, counted, cut, in_pieces,
+                                   may_be_in, slim, table, widened)
 from corpusloom.llm.shingles import mixed, shingle_set
 
 EXPECTED = 14.0
@@ -41,14 +41,6 @@ _LONGS = range(BITS // 64)
 _U = np.uint64
 
 
-def band_edges(largest: int) -> list[int]:
-    """First sizes of the bands from FIRST_BAND on, one beyond ``largest``."""
-    edges = [FIRST_BAND]
-    while edges[-1] <= largest:
-        edges.append(int(edges[-1] * RATIO))
-    return edges
-
-
 def blocks_of(top: int) -> int:
     """Number of blocks of the band whose largest sets have ``top`` shingles."""
     apart = 2 * top // 9
@@ -134,21 +126,23 @@ def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = []
-            for doc, body in zip(batch.iloc[:, 0], batch.iloc[:, 1],
-                                 strict=True):
+            for doc, body, md5 in zip(*(batch[c] for c in batch.columns),
+                                      strict=True):
                 found = shingle_set(body)
-                rows.append((doc, len(found), *fingerprint(found),
+                rows.append((doc, md5, len(found), *fingerprint(found),
                              parity_bits(found), [
                     {"band": b, "spare": s, "signatures": x.view(np.int64)}
                     for b, s, x in sketches(found)]))
-            yield pd.DataFrame(rows, columns=["key", "n", "f1", "f2", "bits",
-                                              "bands"], dtype=object)
-
-    return docs.select(key, text).mapInPandas(
-        describe, f"key {kind}, n int, f1 long, f2 long, bits array<long>, "
-        "bands array<struct<band:int, spare:int, "
+            yield pd.DataFrame(rows, columns=["key", "text_md5", "n", "f1", "f2",
+                                              "bits", "bands"], dtype=object)
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"),
+                       F.md5(F.coalesce(F.col(text), F.lit("")))
+                       .alias("md5")).mapInPandas(
+        describe, f"key {kind}, text_md5 string, n int, f1 long, f2 long, "
+        "bits array<long>, bands array<struct<band:int, spare:int, "
         "signatures:array<long>>>")
 
 
@@ -163,7 +157,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = []
             for doc, body in zip(batch.iloc[:, 0], batch.iloc[:, 1],
                                  strict=True):
@@ -205,14 +199,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame,
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """Row per row of ``docs``: key, n_shingles, component_id.
+    """Row per row of ``docs``: key, n_shingles, component_id, text_md5, group.
 
     Documents link at a Jaccard similarity of 0.8 on sets of five-word
     shingles; component_id is the smallest key reachable by links. Texts with
     the same set are one class and compared once. A null or empty text, or one
     of blanks only, has no shingles and links with nothing; so does its copy.
     A row with a null key takes part; where it has no partner with a key its
-    component_id is null. Rows that repeat a key are rows of their own.
+    component_id is null. Rows that repeat a key are rows of their own, told
+    apart by ``text_md5``; ``group`` is a number of the component (null without
+    shingles), as components can then have the same smallest key.
 
     Blocks shared by more than two classes are not expanded into pairs: each
     class is compared with the most central one, whose blocks are shared most.
@@ -221,7 +217,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
     blocks with more than BIG classes are left out of this for every class
     that can lose them by the pigeonhole rule.
     """
-    small_batches(docs.sparkSession)
     features = cut(_features(docs, key, text))
     classes = cut(
         features.where("n > 0").groupBy("n", "f1", "f2")
@@ -252,17 +247,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
     label = components(links)
 
     rest = cut(_unresolved(members, label).join(sketch, "cid"))
-    pairs = cut(rest.alias("x").join(rest.alias("y"), F.expr(
+    pairs, n_pairs = counted(rest.alias("x").join(rest.alias("y"), F.expr(
         "x.sign = y.sign and x.cid < y.cid and x.component <> y.component")
         & _close("x", "y"))
         .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         .distinct().join(stars, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = _verified(pairs, classes, docs, key, text)
-        label = components(links.union(more))
+    more, found = counted(_verified(pairs, classes, docs, key, text)
+                          ) if n_pairs else (pairs, 0)
+    if found:
+        label = _joined(label, more)
     return _labelled(features, classes, label, key)
 
 
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after more links between nodes."""
+    for end in ("a", "b"):
+        more = (more.join(label.toDF(end, "of"), end, "left")
+                .withColumn(end, F.coalesce("of", end)).drop("of"))
+    top = components(more).toDF("component", "top")
+    moved = (label.join(top, "component", "left")
+             .select("node", F.coalesce("top", "component")
+                     .alias("component")))
+    # nodes that had no link before
+    return moved.unionByName(top.toDF("node", "component").join(
+        label, "node", "left_anti"))
+
+
 def _stars(blocks: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: both of two, or the centre with each other one."""
     central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
@@ -296,14 +306,54 @@ def _labelled(features: DataFrame, classes: DataFrame, label: DataFrame,
     of = (classes.join(label, F.col("cid") == F.col("node"), "left")
           .withColumn("component", F.coalesce("component", "cid")))
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "component").select("n", "f1", "f2",
+    named = of.join(least, "component").select("n", "f1", "f2", "component",
                                                "component_id")
-    rows = features.select("key", "n", "f1", "f2").join(
+    rows = features.select("key", "text_md5", "n", "f1", "f2").join(
         named, ["n", "f1", "f2"], "left")
     return rows.select(
         F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("key"))
-        .otherwise(F.col("component_id")).alias("component_id"))
+        .otherwise(F.col("component_id")).alias("component_id"),
+        "text_md5", F.col("component").alias("group"))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id",
+                            text: str = "text") -> DataFrame:
+    """``docs`` with one row left of each group of linked rows.
+
+    It is the row with the smallest key, then text digest; texts without
+    shingles all stay. Rows that repeat a key are judged one by one; of rows
+    that repeat key and text one stays. Other columns pass as they are.
+    """
+    rows = cut(near_duplicates(docs, key, text).where("group is not null")
+               .select(F.col(key).alias("key"), "text_md5", "group"))
+    keep = rows.groupBy("group").agg(
+        F.min(F.struct("key", "text_md5")).alias("keep"),
+        F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    own = F.struct("key", "text_md5")
+    gone = (rows.join(keep, "group").where(~own.eqNullSafe(F.col("keep")))
+            .select("key", "text_md5").distinct())
+    twice = (rows.groupBy("key", "text_md5").agg(F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("key", "text_md5"))
+    named = {"key": key, "text": text}
+    slimmed = slim(docs, named).withColumn("md5", F.md5(F.coalesce(
+        "text", F.lit(""))))
+
+    def same(other: DataFrame) -> Column:
+        return (slimmed["key"].eqNullSafe(other["key"])
+                & (slimmed["md5"] == other["text_md5"]))
+
+    first = Window.partitionBy("key", "md5").orderBy(F.lit(1))
+    left = slimmed.join(gone, same(gone), "left_anti").join(
+        twice.withColumn("again", F.lit(True)).withColumnsRenamed(
+            {"key": "_key", "text_md5": "_md5"}),
+        F.col("key").eqNullSafe(F.col("_key")) & (F.col("md5")
+                                                  == F.col("_md5")), "left")
+    one = left.where("again").withColumn("n", F.row_number().over(first)
+                                         ).where("n = 1")
+    columns = ["key", "text", "rest"]
+    return widened(left.where("again is null").select(columns).unionByName(
+        one.select(columns)), docs.columns, named)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import cut, ranked, small_batches, table
+from corpusloom.llm.shared import cut, in_pieces, ranked, table
 from corpusloom.llm.tokenize import encoder
 
 CAPACITY = 2048
@@ -46,14 +46,13 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id",
     Each document is its ids and the end id; a null text is the end id alone.
     ``keep_ids`` adds the ids themselves as little-endian bytes.
     """
-    small_batches(docs.sparkSession)
     schema = (f"{key} {docs.schema[key].dataType.simpleString()}, piece int, "
               "start long, length long, ids_crc32 long")
     schema += ", ids binary" if keep_ids else ""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = []
             for doc, body in zip(batch.iloc[:, 0], batch.iloc[:, 1],
                                  strict=True):

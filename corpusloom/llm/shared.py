@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import (Column, DataFrame, Observation, SparkSession,
+                         Window)
 from pyspark.sql import functions as F
 
 
@@ -16,48 +19,46 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the cluster's ``spark.checkpoint.dir``; only a session without one,
-    as in tests, gets a temporary folder.
+    It is the cluster's ``spark.checkpoint.dir``. Only a local session without
+    one, as in tests, gets a temporary folder.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs"
+                             " a folder that all its machines see")
         context.setCheckpointDir(given or tempfile.mkdtemp(
             prefix="corpusloom-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` to the shared folder as a table and go on from there.
 
-    A checkpoint also keeps the facts that Spark has inferred about its
-    columns. In a loop of joins these double in each round, so they are left
-    out here.
+    One job, where a checkpoint runs the last stage twice, and the rows take
+    less room. The table stays in the shared folder, which is cleared with its
+    checkpoints.
     """
     spark = df.sparkSession
-    shared_folder(spark)
-    infer = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(infer)
-    spark.conf.set(infer, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(infer, before)
-
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a table: smaller than a checkpoint if it has many rows.
 
-    It stays in the shared folder, which is cleared with its checkpoints.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``cut``, with the number of rows, counted while they are written."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return kept, seen.get["rows"]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let Python workers take so many rows at a time, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_pieces(batches: Iterator[pd.DataFrame], rows: int = 500
+              ) -> Iterator[pd.DataFrame]:
+    """So many rows of a batch at a time, as texts can be long."""
+    for batch in batches:
+        for i in range(0, max(1, len(batch)), rows):
+            yield batch.iloc[i:i + rows]
 
 
 FIELD_WORDS = 1 << 17  # 8 Mbit, some 10 MB when it is broadcast
@@ -141,6 +142,17 @@ def ranked(df: DataFrame, group: str, key: list[str], name: str = "rank",
             .drop("_slices", "_slice", "_pos", "_group", "_of", "_start"))
 
 
+def _moves(links: DataFrame, turn: int) -> DataFrame:
+    """(node, at): the first of each node and its neighbours, in this turn."""
+    # Spark puts numbers into the code that it compiles, but not texts: the
+    # rounds share one compiled plan
+    own, other = (F.struct(F.xxhash64(c, F.lit(f"round {turn}")).alias("h"),
+                           F.col(c).alias("node")) for c in ("a", "b"))
+    return (links.groupBy("a").agg(F.min(other).alias("first"))
+            .select(F.col("a").alias("node"),
+                    F.least(own, "first")["node"].alias("at")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (node, component).
 
@@ -148,32 +160,31 @@ def components(edges: DataFrame) -> DataFrame:
     a new random order puts first, and edges move along; a star is one node
     after a round, and of a path half of the nodes stay. The component is its
     smallest node. Nodes without an edge to another node do not appear. Each
-    round is cut by a checkpoint; nothing is collected.
+    round is written to a table; nothing is collected. The rounds' moves are
+    joined last round first, so each join has only the nodes that its round
+    began with.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
-    links = cut(both.where("a <> b").distinct())
-    place = None
-    turn = 0
-    while not links.isEmpty():
-        turn += 1
-        # Spark puts numbers into the code that it compiles, but not texts: the
-        # rounds share one compiled plan
-        own, other = (F.struct(F.xxhash64(c, F.lit(f"round {turn}")).alias("h"),
-                               F.col(c).alias("node")) for c in ("a", "b"))
-        moves = cut(links.groupBy("a").agg(F.min(other).alias("first"))
-                    .select(F.col("a").alias("node"),
-                            F.least(own, "first")["node"].alias("to")))
-        if place is None:
-            place = moves.withColumnRenamed("to", "at")
-        else:
-            place = cut(place.join(moves.toDF("at", "to"), "at", "left")
-                        .select("node", F.coalesce("to", "at").alias("at")))
-        links = cut(links.join(moves.toDF("a", "na"), "a")
-                    .join(moves.toDF("b", "nb"), "b").where("na <> nb")
-                    .select(F.col("na").alias("a"), F.col("nb").alias("b"))
-                    .distinct())
-    if place is None:
+    links, left = counted(both.where("a <> b").distinct())
+    rounds = []
+    while left:
+        rounds.append(links)
+        moves = _moves(links, len(rounds))
+        links, left = counted(
+            links.join(moves.toDF("a", "na"), "a")
+            .join(moves.toDF("b", "nb"), "b").where("na <> nb")
+            .select(F.col("na").alias("a"), F.col("nb").alias("b"))
+            .distinct())
+    if not rounds:
         return links.select(F.col("a").alias("node"),
                             F.col("b").alias("component"))
+    place = None
+    while rounds:
+        moves = _moves(rounds[-1], len(rounds))
+        rounds.pop()
+        if place is not None:
+            moves = moves.join(place.toDF("at", "to"), "at", "left").select(
+                "node", F.coalesce("to", "at").alias("at"))
+        place = cut(moves)
     label = place.groupBy("at").agg(F.min("node").alias("component"))
     return cut(place.join(label, "at").select("node", "component"))

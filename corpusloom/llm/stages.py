@@ -29,9 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf: str
                        ) -> DataFrame:
     """One document of each group of linked texts stays, the smallest id."""
-    rows = ngram_join.near_duplicates(docs)
-    gone = rows.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.without_near_duplicates(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
