@@ -9,6 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators.centroid import SCORE_DIGITS
 from corpusloom.operators.common import (BROADCAST_ROWS, bounded, join_small,
                                          require_columns, top_rows)
+from corpusloom.operators.postings import PostingIndex
 from corpusloom.operators.tfidf import terms_only
 
 DEFAULT_TOP_N = 5
@@ -105,11 +106,12 @@ def _fillers(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
 
 def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
-          query_weights: DataFrame, n: int, rows: int | None = None
-          ) -> DataFrame:
+          query_weights: DataFrame, n: int, rows: int | None = None,
+          index: PostingIndex | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, category, score)``.
 
-    ``docs`` is ``(doc_id, category)`` of the whole index. Score falling, later
+    With an ``index`` pairs are made in the blocks that can hold a result only;
+    without one, for all documents that share a term. ``docs`` is ``(doc_id, category)`` of the whole index. Score falling, later
     documents first on ties. Documents outside the filtered category, or
     without one, are not removed: they follow at -1.
     """
@@ -119,8 +121,11 @@ def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
     asked = query_weights.join(
         bounded(queries.select("query_id", "category_filter"), rows),
         "query_id")
-    hits = top_rows(similarities(weights, asked, rows), ["query_id"], order,
-                    n, "r").drop("r")
+    if index is not None:
+        hits = index.hits(asked, n, rows)
+    else:
+        hits = top_rows(similarities(weights, asked, rows), ["query_id"],
+                        order, n, "r").drop("r")
     every = (hits.unionByName(_fillers(docs, queries, n))
              .groupBy("query_id", "doc_id", "category")
              .agg(F.max("score").alias("score")))

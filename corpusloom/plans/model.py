@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +14,9 @@ from corpusloom.operators import (centroid, matcher, ngrams, preprocess,
                                   tfidf)
 from corpusloom.operators.common import (BROADCAST_ROWS, NotFittedError,
                                          require_columns)
+from corpusloom.operators.postings import PostingIndex
 
-TABLES = ("vocabulary", "weights", "centroids")
+TABLES = ("vocabulary", "weights", "centroids", "postings")
 MIN_CLASSIFY_CHARS = 20
 MIN_MATCH_CHARS = 10
 
@@ -29,7 +30,8 @@ class CorpusModel:
     ``centroids (category, label_first_id, term_idx, weight, norm)``;
     ``docs (doc_id, category)`` lists the documents of the index. ``ready`` are
     the prepared rows of the fit, if it has not been stored. A corpus without
-    categories is not ``labelled``: filters are skipped then.
+    categories is not ``labelled``: filters are skipped then. ``index`` are the
+    posting lists that matching uses; a stored model has them.
     """
 
     vocabulary: DataFrame
@@ -42,6 +44,7 @@ class CorpusModel:
     options: tuple = ()
     ready: DataFrame | None = None
     labelled: bool = True
+    index: PostingIndex | None = None
 
     @classmethod
     def fit(cls, corpus: DataFrame, *,
@@ -103,6 +106,8 @@ class CorpusModel:
         weights.write.parquet(f"{path}/weights")
         stored = spark.read.parquet(f"{path}/weights")
         centroid.fit_centroids(stored).write.parquet(f"{path}/centroids")
+        PostingIndex.build(stored).postings.sortWithinPartitions(
+            "block", "term_idx").write.parquet(f"{path}/postings")
         plain = {}
         for name, value in self.options:
             if isinstance(value, DataFrame):
@@ -134,12 +139,18 @@ class CorpusModel:
             raise NotFittedError(f"no fitted model at {path}") from error
         docs = tables["weights"].where(
             F.col("term_idx") == tfidf.DOC_IDX).select("doc_id", "category")
-        return cls(**tables, docs=docs, max_features=meta["max_features"],
+        index = PostingIndex(tables.pop("postings"))
+        return cls(**tables, docs=docs, index=index, max_features=meta["max_features"],
                    ngram_range=tuple(meta["ngram_range"]),
                    options=tuple(options.items()),
                    labelled=meta["labelled"],
                    centroid_rows=centroid.small_enough(tables["centroids"]))
 
+    def indexed(self) -> CorpusModel:
+        """With posting lists for matching, made anew unless there are some."""
+        return self if self.index is not None else replace(
+            self, index=PostingIndex.build(self.weights))
+
     # -- use -------------------------------------------------------------
 
     def vectorize(self, prepared: DataFrame, key: str = "doc_id"
@@ -196,7 +207,8 @@ class CorpusModel:
         ready = preprocess.prepare_texts(asked, key="query_id",
                                          **dict(self.options))
         found = matcher.match(self.weights, self.docs, asked,
-                              self.vectorize(ready, "query_id"), n, rows)
+                              self.vectorize(ready, "query_id"), n, rows,
+                              self.index)
         if corpus is None:
             return found
         shown = rows * n if rows is not None else None

@@ -597,6 +597,11 @@ def statements() -> dict[str, str]:
     out["q_match_filtered"] = with_(*matches("asked", [BENCH, filtered])) + (
         "SELECT query_id, rank, doc_id, category, round(score * 100, 1) AS "
         "similarity_pct FROM best")
+    four = ("asked AS (SELECT query_id, text, 4 AS top_n, "
+            f"{nth(FILTERS, 'query_id')} AS flt FROM bench)")
+    out["q_match_index"] = with_(*matches("asked", [BENCH, four])) + (
+        "SELECT query_id, rank, doc_id, category, round(score + 1e-10, 6) AS "
+        "score FROM best")
     raw = ("asked AS (SELECT *, 3 AS top_n, NULL AS flt FROM turns)")
     out["q_match_raw"] = with_(*matches("asked", [
         long_turns("turns", "query_id", 10), raw])) + (

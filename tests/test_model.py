@@ -9,8 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import (bow, matcher, ngrams, preprocess, profile,
-                                  tfidf)
+from corpusloom.operators import (bow, matcher, ngrams, postings, preprocess,
+                                  profile, tfidf)
 from corpusloom.operators.common import (NotFittedError, dense_index,
                                          require_columns)
 from corpusloom.plans.model import CorpusModel
@@ -120,8 +120,10 @@ def test_unknown_text_goes_to_first_label(spark, model, rows):
     assert [len(r.top_k) for r in report] == [3, 3]
 
 
+@pytest.mark.parametrize("indexed", [False, True])
 @pytest.mark.parametrize("label", [None, "red", "green", "none of them"])
-def test_match_against_full_ranking(spark, model, docs, rows, label):
+def test_match_against_full_ranking(spark, model, docs, rows, label, indexed):
+    model = model.indexed() if indexed else model
     kept, idf, vectors = brute(rows, LIMIT)
     asked = ["alpha beta gamma", "kappa", "zzz", rows[3][2]]
     queries = spark.createDataFrame(
@@ -148,6 +150,45 @@ def test_match_against_full_ranking(spark, model, docs, rows, label):
         assert {r.similarity_pct for r in shown.collect()} == {-100.0}
 
 
+def test_index_makes_few_pairs(spark):
+    """Same rows as without an index, from a small part of the pairs."""
+    rng = random.Random(5)
+    common, *topics = [["".join(rng.choices("abcdefghij", k=8))
+                        for _ in range(12)] for _ in range(61)]
+    texts = [(i, f"label{i % 3}", " ".join(rng.sample(
+        topics[i % 60] * 2 + common, 30))) for i in range(1200)]
+    texts += [(5000 + i, None, texts[7][2]) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, category string, "
+                                        "text string")
+    queries = spark.createDataFrame(
+        [(q, f"{texts[31 * q][2]} {common[0]}", None if q % 3 else "label1")
+         for q in range(30)],
+        "query_id long, text string, category_filter string")
+    direct = CorpusModel.fit(docs)
+    model = direct.indexed()
+    want = sorted(direct.match(queries, top_n=4).collect())
+    assert sorted(model.match(queries, top_n=4).collect()) == want
+
+    asked = matcher.normalize_queries(queries)
+    ready = preprocess.prepare_texts(asked, key="query_id")
+    sought = tfidf.terms_only(direct.vectorize(ready, "query_id").join(
+        asked.select("query_id", "category_filter"), "query_id")
+        ).withColumnRenamed("weight", "qw")
+    every = matcher.similarities(direct.weights, sought.withColumnRenamed(
+        "qw", "weight")).count()
+    made = sum(model.index.scores(sought, part, None).count()
+               for part in model.index.chosen(sought, 4, None))
+    assert made < 0.25 * every
+    assert made >= len(want) - 4 * 30
+    # a list is made where its block lies: weights never shuffle by term
+    plan = postings.PostingIndex.build(direct.weights).postings
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in shown.splitlines() if "hashpartitioning(" in x]
+    assert any("hashpartitioning(block" in x for x in shuffles)
+    assert not any("term_idx" in x.split("hashpartitioning(")[1].split(")")[0]
+                   for x in shuffles)
+
+
 def test_match_without_broadcast(spark, model, monkeypatch):
     """Past the size bound the same rows come out of an ordinary join."""
     queries = spark.createDataFrame([(1, "alpha beta gamma delta")],
