@@ -52,7 +52,7 @@ def _char_class(chars) -> str:
 
 
 def strip_emails(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(fixed.EMAIL), F.lit(" "))
+    return F.regexp_replace(text, F.lit(fixed.EMAIL), F.lit("$1 "))
 
 
 def strip_phones(text: Column) -> Column:

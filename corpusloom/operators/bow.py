@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ngrams
-from corpusloom.operators.common import (BROADCAST_ROWS, bounded, has_at_most,
-                                         require_columns, top_rows)
+from corpusloom.operators.common import (BROADCAST_ROWS, bounded, dense_index,
+                                         has_at_most, require_columns,
+                                         top_rows)
 
 
 def label_encode(df: DataFrame, label_col: str = "category") -> DataFrame:
     """``(label, label_idx)``: distinct labels numbered in sorted order."""
     found = df.select(F.col(label_col).alias("label")).distinct()
-    # labels only; one task numbers them after the distinct
-    return found.withColumn(
-        "label_idx", F.row_number().over(Window.orderBy("label")) - 1)
+    return dense_index(found, "label", "label_idx").withColumn(
+        "label_idx", F.col("label_idx").cast("int"))
 
 
-def label_map(encoded: DataFrame) -> DataFrame:
-    """One row: ``mapping map<int, string>``."""
-    return encoded.agg(F.map_from_entries(F.sort_array(F.collect_list(
-        F.struct("label_idx", "label")))).alias("mapping"))
+def label_map(encoded: DataFrame, per_row: int = 10_000) -> DataFrame:
+    """``(part, mapping map<int, string>)``: so many labels in a row, so that
+    few labels are one row and many never are."""
+    return encoded.groupBy(F.expr(f"label_idx div {per_row}").alias("part")
+                           ).agg(F.map_from_entries(F.sort_array(
+                               F.collect_list(F.struct("label_idx", "label"))))
+                               .alias("mapping"))
 
 
 def top_ngrams(matrix: DataFrame, vocabulary: DataFrame, n: int = 20,

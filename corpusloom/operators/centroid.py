@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.common import (BROADCAST_ROWS, has_at_most,
                                          join_small, top_rows)
 from corpusloom.operators.tfidf import DOC_IDX, MAX_FEATURES
 
+DENSE_LABELS = 2_000  # centroids that one row is compared with at once
+DENSE_SLICES = 64     # parts of the vectors that blocks of centroids meet
 SCORE_DIGITS = 9  # sums differ in their last bits; ranks must not
 
 
@@ -101,33 +103,78 @@ def labels(df: DataFrame, label_col: str = "category") -> DataFrame:
     return df.select(label_col).distinct().orderBy(label_col)
 
 
-def dense_weights(vectors: DataFrame, key: str, vector_col: str,
-                  label_col: str | None = None) -> DataFrame:
-    """Dense vectors in the long form the functions above work on."""
-    keep = [F.col(key)] + ([F.col(label_col).alias("category")]
-                           if label_col else [])
-    value = F.col("value").cast("double")
-    long = vectors.select(*keep, F.posexplode(vector_col).alias(
-        "term_idx", "value"))
-    mark = vectors.select(*keep, F.lit(DOC_IDX).alias("term_idx"),
-                          F.lit(0.0).alias("weight"))
-    return long.withColumn("weight", value).drop("value").unionByName(mark)
+def _length(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def dense_centroids(vectors: DataFrame, key: str, vector_col: str,
+                    label_col: str) -> DataFrame:
+    """``(category, label_first_id, norm, mean)``: the mean vector of each
+    label as ``array<double>``. Sums are built before anything shuffles."""
+    long = vectors.select(F.col(label_col).alias("category"), key,
+                          F.posexplode(vector_col).alias("i", "value"))
+    means = long.groupBy("category", "i").agg(
+        F.avg(F.col("value").cast("double")).alias("x"),
+        F.min(key).alias("first_id"))
+    packed = means.groupBy("category").agg(
+        F.min("first_id").alias("label_first_id"),
+        F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m"))
+    mean = F.col("m.x")
+    return packed.select("category", "label_first_id",
+                         _length(mean).alias("norm"), mean.alias("mean"))
 
 
 def dense_scores(vectors: DataFrame, centroids: DataFrame, key: str,
-                 vector_col: str) -> DataFrame:
-    """Cosine of dense vectors and centroids, with both norms taken."""
-    value = F.col(vector_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x))
-    # a norm inside the lambda would be taken once per element; the shuffle
-    # keeps the two steps apart
-    by_key = vectors.select(key, value.alias("value"), norm.alias("norm")
-                            ).repartition(key)
-    by_key = by_key.select(key, F.when(F.col("norm") > 0, F.transform(
-        "value", lambda x: x / F.col("norm"))).otherwise(F.col("value"))
-        .alias("unit"))
-    return label_scores(dense_weights(by_key, key, "unit"), centroids,
-                        None, key)
+                 vector_col: str, labels: int | None = None) -> DataFrame:
+    """``(key, category, label_first_id, score)``: cosines within the row.
+
+    ``centroids`` are those of :func:`dense_centroids`, ``labels`` a bound on
+    their number, if known. Up to DENSE_LABELS they go to every row as one
+    array. Beyond that they are dealt out over blocks of about so many, and
+    blocks and slices of the vectors shuffle to meet. Values of a scored vector
+    are never spread over rows. A null vector counts as zero.
+    """
+    each = F.struct("category", "label_first_id", F.col("norm").alias("cn"),
+                    "mean")
+    norm = F.coalesce(_length(F.col(vector_col).cast("array<double>")),
+                      F.lit(0.0))
+    rows = vectors.select(key, F.col(vector_col).alias("v"),
+                          norm.alias("norm"))
+    if labels is not None and labels <= DENSE_LABELS:
+        met = rows.withColumn("cents", centroids.agg(
+            F.collect_list(each)).scalar())
+    else:
+        n = F.greatest(F.lit(1), F.ceil(centroids.agg(F.count(F.lit(1)))
+                                        .scalar() / DENSE_LABELS))
+        every = F.explode(F.sequence(F.lit(0), F.lit(DENSE_SLICES - 1)))
+        blocks = (centroids.withColumn("block", F.pmod(F.xxhash64("category"),
+                                                       n))
+                  .groupBy("block").agg(F.collect_list(each).alias("cents"))
+                  .withColumn("slice", every))
+        met = (rows.withColumn("slice", F.pmod(
+            F.xxhash64(key), F.lit(DENSE_SLICES)).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                      n - 1)))
+            .join(blocks, ["block", "slice"]))
+
+    def scored(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with("v", c["mean"], lambda x, y: x * y),
+                          F.lit(0.0), lambda total, x: total + x)
+        return F.struct(c["category"].alias("category"),
+                        c["label_first_id"].alias("label_first_id"),
+                        c["cn"].alias("cn"), dot.alias("dot"))
+
+    score = F.when((F.col("norm") > 0) & (F.col("cn") > 0), F.col("dot") / (
+        F.col("norm") * F.col("cn"))).otherwise(F.lit(0.0))
+    return (met.select(key, "norm", F.inline(F.transform("cents", scored)))
+            .select(key, "category", "label_first_id",
+                    F.round(score, SCORE_DIGITS).alias("score")))
+
+
+def label_bound(df: DataFrame, label_col: str) -> int | None:
+    """Number of labels, if it is small; reads the label column alone."""
+    seen = df.select(label_col).distinct().limit(DENSE_LABELS + 1).count()
+    return seen if seen <= DENSE_LABELS else None
 
 
 def small_enough(centroids: DataFrame) -> int | None:

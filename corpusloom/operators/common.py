@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # A side is broadcast only when its number of rows is known to stay below
 # this; at some 60 bytes a row that is well under the memory of an executor.
 BROADCAST_ROWS = 2_000_000
+# Rows of one key that a task should join at most.
+SALT_ROWS = 1_000_000
 
 
 class NotFittedError(RuntimeError):
@@ -32,21 +34,32 @@ def bounded(df: DataFrame, rows: int | None,
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str, rows: int | None,
-               how: str = "inner", salts: int = 16) -> DataFrame:
+               how: str = "inner", sizes: DataFrame | None = None
+               ) -> DataFrame:
     """Inner or left join with a side that usually fits everywhere.
 
     Within its bound the small side is broadcast and the large side stays
-    where it is. Beyond that both sides shuffle, and since one key may hold a
-    large part of the large side, its rows are dealt out over salts and the
-    other side is repeated once per salt. The rows are the same.
+    where it is. Beyond that Spark picks the join from the sizes it measures.
+    ``sizes``, ``(on, df)`` with one row per key, tells how many rows of the
+    large side have a key: the rows of a key with more than SALT_ROWS are dealt
+    out over as many salts as that takes, and the small side's rows of that key
+    are repeated; no other key's are. The rows are the same.
     """
     if rows is not None and rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return (big.withColumn("_salt", salt)
-            .join(small.withColumn("_salt", F.explode(every)), [on, "_salt"],
-                  how).drop("_salt"))
+    if sizes is None:
+        return big.join(small, on, how)
+    # no more keys can be hot than the large side has rows / SALT_ROWS
+    hot = sizes.where(F.col("df") > SALT_ROWS).select(on, F.ceil(
+        F.col("df") / SALT_ROWS).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*big.columns), salts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), salts - 1))
+    return (big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt)
+            .drop("_salts").join(
+                small.join(F.broadcast(hot), on, "left")
+                .withColumn("_salt", every).drop("_salts"),
+                [on, "_salt"], how).drop("_salt"))
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -75,24 +88,35 @@ def top_rows(df: DataFrame, partition: list[str], order: list[Column],
             .where(F.col(rank) <= n))
 
 
+def with_slice(df: DataFrame, key: str, slices: int = 64) -> DataFrame:
+    """Add ``_slice``: the number of the slice of the key range of a row.
+
+    The split points come from a few keys, those of least hash. They decide how
+    even the slices are, never a result. They are a subquery of the plan, so
+    nothing runs while it is built. Null keys are in the first slice.
+    """
+    probe = (df.select(key).where(F.col(key).isNotNull())
+             .orderBy(F.xxhash64(key)).limit(slices * 50)
+             .agg(F.sort_array(F.collect_list(key)).alias("k"))
+             .select(F.transform(
+                 F.sequence(F.lit(1), F.lit(slices - 1)),
+                 lambda i: F.get("k", (i * F.size("k") / slices)
+                                 .cast("int"))).alias("points"))).scalar()
+    return (df.withColumn("_points", probe)
+            .withColumn("_slice", F.size(F.filter(
+                "_points", lambda p: p <= F.col(key)))).drop("_points"))
+
+
 def dense_index(df: DataFrame, key: str, name: str = "row_index",
                 slices: int = 64) -> DataFrame:
     """Number the rows 0..n-1 in the order of a unique key, distributed.
 
     A window over the whole table would run in one task. Here split points
     cut the key range into slices, each slice is numbered on its own, and the
-    running total of the slice sizes is added. The split points come from a
-    few keys; they decide how even the slices are, never the result.
+    running total of the slice sizes is added. ``slices`` should rise with the
+    rows: one for each million or so.
     """
-    probe = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull())
-                   .orderBy(F.xxhash64(key)).limit(slices * 50).collect())
-    step = max(1, len(probe) // slices)
-    points = probe[step::step][:slices]
-    part = F.lit(0)
-    if points:
-        part = F.size(F.filter(F.array(*[F.lit(p) for p in points]),
-                               lambda p: p <= F.col(key)))
-    cut = df.withColumn("_slice", part)
+    cut = with_slice(df, key, slices)
     sizes = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     # at most slices + 1 rows are left here, so one task is enough
     before = Window.orderBy("_slice").rowsBetween(

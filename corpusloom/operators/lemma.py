@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
 from corpusloom.operators.common import join_small
+from corpusloom.operators.token_rows import gathered, spread
 
 
 def _shorter(form: Column) -> Column:
@@ -87,19 +88,14 @@ def lemmatize_tokens(df: DataFrame, lexicon: DataFrame,
     """Replace ``tokens`` by their lemmas, keeping order and empty rows.
 
     The rules run once per distinct token. Only forms that do change are
-    joined back, with hot tokens dealt out over salts; nothing runs while the
-    plan is built.
+    joined back, and the hot ones of these are dealt out over salts by their
+    own number; nothing runs while the plan is built.
     """
-    forms = df.select(F.explode("tokens").alias("form")).distinct()
-    changed = (lemma_map(forms, lexicon, exceptions)
+    rows = spread(df, key).withColumnRenamed("token", "form")
+    counts = (df.select(F.explode("tokens").alias("form")).groupBy("form")
+              .agg(F.count(F.lit(1)).alias("df")))
+    changed = (lemma_map(counts.select("form"), lexicon, exceptions)
                .where(F.col("form") != F.col("lemma")))
-    spread = df.select(key, F.posexplode("tokens").alias("pos", "form"))
-    placed = (join_small(spread, changed, "form", None, "left")
-              .select(key, F.struct("pos", F.coalesce("lemma", "form")
-                                    .alias("token")).alias("t")))
-    rebuilt = placed.groupBy(key).agg(F.sort_array(F.collect_list("t"))
-                                      .alias("placed"))
-    return (df.drop("tokens").join(rebuilt, key, "left")
-            .withColumn("tokens", F.coalesce(
-                F.col("placed.token"), F.array().cast("array<string>")))
-            .drop("placed"))
+    placed = join_small(rows, changed, "form", None, "left", counts)
+    return gathered(placed.select(key, "pos", "rest", F.coalesce(
+        "lemma", "form").alias("token")), df.columns, key)

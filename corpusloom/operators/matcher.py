@@ -51,16 +51,19 @@ def gram_bound(rows: int | None, ngram_range: tuple[int, int]) -> int | None:
 
 
 def similarities(weights: DataFrame, query_weights: DataFrame,
-                 rows: int | None = None) -> DataFrame:
+                 rows: int | None = None, sizes: DataFrame | None = None
+                 ) -> DataFrame:
     """``(query_id, doc_id, category, score)`` of pairs that share a term.
 
     The query side is broadcast while its bound is small. Corpus rows then
     stay where they are: both the join and the sum by (query, document) run
     within the partitions by document. ``query_weights`` may carry a
     ``category_filter``; other documents are left out before the sum.
+    ``sizes``, ``(term_idx, df)``, tells hot terms beyond the bound.
     """
     asked = terms_only(query_weights).withColumnRenamed("weight", "qw")
-    met = join_small(terms_only(weights), asked, "term_idx", rows)
+    met = join_small(terms_only(weights), asked, "term_idx", rows,
+                     sizes=sizes)
     if "category_filter" in asked.columns:
         met = met.where(F.col("category_filter").isNull()
                         | (F.col("category") == F.col("category_filter")))
@@ -107,7 +110,8 @@ def _fillers(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
 def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
           query_weights: DataFrame, n: int, rows: int | None = None,
-          index: PostingIndex | None = None) -> DataFrame:
+          index: PostingIndex | None = None,
+          sizes: DataFrame | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, category, score)``.
 
     With an ``index`` pairs are made in the blocks that can hold a result only;
@@ -124,8 +128,8 @@ def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
     if index is not None:
         hits = index.hits(asked, n, rows)
     else:
-        hits = top_rows(similarities(weights, asked, rows), ["query_id"],
-                        order, n, "r").drop("r")
+        hits = top_rows(similarities(weights, asked, rows, sizes),
+                        ["query_id"], order, n, "r").drop("r")
     every = (hits.unionByName(_fillers(docs, queries, n))
              .groupBy("query_id", "doc_id", "category")
              .agg(F.max("score").alias("score")))

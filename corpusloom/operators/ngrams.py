@@ -118,4 +118,5 @@ def matrix(counts: DataFrame, vocabulary: DataFrame,
            max_features: int | None) -> DataFrame:
     """Counts of known terms only, as ``(..., term_idx, tf)``."""
     index = vocabulary.select("term", "term_idx")
-    return join_small(counts, index, "term", max_features).drop("term")
+    return join_small(counts, index, "term", max_features,
+                      sizes=vocabulary.select("term", "df")).drop("term")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning, stemming, tokens
-from corpusloom.operators import lemma
+from corpusloom.operators import lemma, token_rows
 from corpusloom.operators.common import keep_rows, require_columns
 
 MIN_CORPUS_CHARS = 10
@@ -22,7 +22,7 @@ def with_cleaned(df: DataFrame, text_col: str = "text",
 
 def with_tokens(df: DataFrame, cleaned_col: str = "cleaned", *,
                 tokenizer: str = "regex",
-                stopwords: Iterable[str] | None = None,
+                stopwords: Iterable[str] | DataFrame | None = None,
                 extra_stopwords: Iterable[str] = (),
                 min_token_length: int = 2,
                 normalize: str | None = "lemma",
@@ -32,14 +32,20 @@ def with_tokens(df: DataFrame, cleaned_col: str = "cleaned", *,
     """Add ``tokens`` and ``processed`` (the tokens joined by blanks).
 
     ``normalize`` is ``"lemma"``, ``"stem"`` or ``None``. Lemmas need a
-    ``lexicon`` table; without one tokens stay as they are.
+    ``lexicon`` table; without one tokens stay as they are. ``stopwords`` is a
+    list, or a table with a column ``word``; ``key`` must then tell the rows
+    apart, as it must for a lexicon.
     """
     if normalize not in ("lemma", "stem", None):
         raise ValueError("normalize must be 'lemma', 'stem' or None")
     require_columns(df, cleaned_col)
+    listed = isinstance(stopwords, DataFrame)
     out = df.withColumn("tokens", tokens.process_tokens(
-        F.col(cleaned_col), tokenizer=tokenizer, stopwords=stopwords,
+        F.col(cleaned_col), tokenizer=tokenizer,
+        stopwords=() if listed else stopwords,
         extra_stopwords=extra_stopwords, min_token_length=min_token_length))
+    if listed:
+        out = token_rows.drop_listed(out, stopwords, key)
     if normalize == "stem":
         out = out.withColumn("tokens", stemming.stem_tokens(F.col("tokens")))
     elif normalize == "lemma" and lexicon is not None:
@@ -61,8 +67,8 @@ def prepare(corpus: DataFrame, *, text_col: str = "text",
     require_columns(corpus, key, text_col, *keep)
     source = corpus.withColumnRenamed(text_col, "text").select(
         key, *keep, "text")
-    ready = with_tokens(with_cleaned(source), key=key, **options).select(
-        key, *keep, "tokens")
+    ready = with_tokens(with_cleaned(source).select(key, *keep, "cleaned"),
+                        key=key, **options).select(key, *keep, "tokens")
     if min_chars is not None:
         ready = keep_rows(ready, "tokens", F.length(
             tokens.join_tokens(F.col("tokens"))) > min_chars)

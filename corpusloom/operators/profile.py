@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.tokens import stopword_set
-from corpusloom.operators.common import top_rows
+from corpusloom.operators.common import top_rows, with_slice
 
 
 def overview(corpus: DataFrame) -> DataFrame:
@@ -27,17 +27,59 @@ def lengths(corpus: DataFrame) -> DataFrame:
             .withColumn("word_count", tx.word_count(F.col("text"))))
 
 
+def quantiles(df: DataFrame, column: str, shares: Iterable[float],
+              slices: int = 64) -> DataFrame:
+    """One row, one array column: exact quantiles, between neighbours by
+    their distance; null without values.
+
+    Equal values are one row with their number. Split points cut the range of
+    values into slices, each slice counts up on its own, and the numbers of
+    the slices before it are added: no task sees all values. Of all rows only
+    the neighbours of each rank are left.
+    """
+    value = F.col("value")
+    counts = (df.select(F.col(column).cast("double").alias("value"))
+              .where(value.isNotNull()).groupBy("value")
+              .agg(F.count(F.lit(1)).alias("n")))
+    sliced = with_slice(counts, "value", slices)
+    # as many rows as slices: one task is enough
+    before = Window.orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = (sliced.groupBy("_slice").agg(F.sum("n").alias("_n"))
+              .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                      .alias("_start"), F.sum("_n").over(
+                          Window.partitionBy(F.lit(0))).alias("total")))
+    inside = Window.partitionBy("_slice").orderBy("value")
+    placed = sliced.join(F.broadcast(starts), "_slice").select(
+        "value", "n", "total", (F.col("_start") + F.sum("n").over(inside))
+        .alias("upto"))
+
+    def at(rank: Column) -> Column:
+        here = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+        return F.max(F.when(here, value))
+
+    shares = list(shares)
+    ranks = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    found = placed.agg(F.max("total").alias("total"), *[
+        at(edge(rank)).alias(f"{name}{i}") for i, rank in enumerate(ranks)
+        for name, edge in (("low", F.floor), ("high", F.ceil))])
+    return found.select(F.when(F.col("total") > 0, F.array(*[
+        F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}"))
+        * (rank - F.floor(rank)) for i, rank in enumerate(ranks)]))
+        .alias("quantiles"))
+
+
 def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """One row per column: count, mean, std, min, quartiles, max; rounded."""
     columns = list(columns)
+    quarts = {c: quantiles(df, c, (.25, .5, .75)) for c in columns}
     aggs = []
     for c in columns:
         aggs += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"),
                  F.stddev_samp(c).alias(f"{c}_std"),
-                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
-                 F.percentile(c, F.array(*map(F.lit, (.25, .5, .75))))
-                 .alias(f"{c}_q")]
-    wide = df.agg(*aggs)
+                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    wide = df.agg(*aggs).select("*", *[
+        quarts[c].scalar().alias(f"{c}_q") for c in columns])
 
     def row(c: str):
         quart = F.col(f"{c}_q")

@@ -88,7 +88,8 @@ def transform(prepared: DataFrame, vocabulary: DataFrame, *,
     index = vocabulary.select("term", "term_idx", "idf")
     grams = ngrams.explode_ngrams(prepared, ngram_range=ngram_range,
                                   keep=(key, *keep), mark_docs=True)
-    counts = (join_small(grams, index, "term", with_mark(max_features))
+    counts = (join_small(grams, index, "term", with_mark(max_features),
+                         sizes=vocabulary.select("term", "df"))
               .groupBy(key, *keep, "term_idx")
               .agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf")))
     return weigh(counts, key)
@@ -104,4 +105,5 @@ def with_terms(weights: DataFrame, vocabulary: DataFrame,
     """Spell ``term_idx`` out again."""
     index = vocabulary.select("term", "term_idx")
     return join_small(terms_only(weights), index, "term_idx",
-                      with_mark(max_features))
+                      with_mark(max_features),
+                      sizes=vocabulary.select("term_idx", "df"))

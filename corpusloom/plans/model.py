@@ -208,7 +208,8 @@ class CorpusModel:
                                          **dict(self.options))
         found = matcher.match(self.weights, self.docs, asked,
                               self.vectorize(ready, "query_id"), n, rows,
-                              self.index)
+                              self.index,
+                              self.vocabulary.select("term_idx", "df"))
         if corpus is None:
             return found
         shown = rows * n if rows is not None else None

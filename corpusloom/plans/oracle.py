@@ -413,6 +413,25 @@ SELECT w.form, coalesce(b.cand, w.form) AS lemma FROM words w
  LEFT JOIN best b ON b.form = w.form AND place = 1"""
 
 
+def lemma_rows() -> list[str]:
+    """CTEs up to ``lemmas (form, lemma)``, with irregular forms, and
+    ``lemmatised (doc_id, category, t)``."""
+    head, tail = lemma_sql().split("\nSELECT w.form")
+    parts = head.removeprefix("WITH RECURSIVE ")
+    known = ("EXISTS (SELECT 1 FROM words k WHERE k.n >= "
+             f"{LEXICON_DOCS} AND k.form = left(w.form, 2))")
+    return [parts, "lemmas AS (SELECT w.form, CASE WHEN length(w.form) % 5 "
+            f"<> 0 THEN coalesce(b.cand, w.form) WHEN {known} THEN "
+            "left(w.form, 2) ELSE w.form END AS lemma FROM words w LEFT JOIN "
+            "best b ON b.form = w.form AND place = 1)",
+            "placed AS (SELECT doc_id, unnest(t) AS form, "
+            "generate_subscripts(t, 1) AS pos FROM toks)",
+            "lemmatised AS MATERIALIZED (SELECT doc_id, c.category, "
+            "coalesce(l.t, []) AS t FROM corpus c LEFT JOIN (SELECT doc_id, "
+            "list(lemma ORDER BY pos) AS t FROM placed JOIN lemmas USING "
+            "(form) GROUP BY doc_id) l USING (doc_id))"]
+
+
 def summed(x: str) -> str:
     return f"sum(('0x' || left(md5({x}), 8))::BIGINT)::BIGINT"
 
@@ -473,6 +492,50 @@ def statements() -> dict[str, str]:
         "processed_digest FROM p WHERE length(p) > 10")
     out["q_stem"] = stem_sql()
     out["q_lemmatize"] = lemma_sql()
+    recursive = "WITH RECURSIVE " + ",\n".join(lemma_rows()) + "\n"
+    out["q_process_lemma"] = recursive + digest(joined("t"), "lemmatised")
+    again = [x.replace("toks AS MATERIALIZED", "toks2 AS MATERIALIZED")
+             for x in fit()]
+    kept = ("kept AS MATERIALIZED (SELECT * FROM lemmatised WHERE "
+            f"length({joined('t')}) > 10)")
+    rest = [gram_rows("grams", "kept")] + [
+        x.replace("FROM toks", "FROM kept") for x in again[3:]]
+    every = [gram_rows("qgrams", "lemmatised", keep=""),
+             count_rows("qtfs", "qgrams", keep=""),
+             weights("qw", "qtfs", "doc_id"),
+             scores().replace("qtoks", "lemmatised"), ranked()]
+    out["q_classify_lemma"] = "WITH RECURSIVE " + ",\n".join(
+        [*lemma_rows(), kept, *rest, *every]) + (
+        "\nSELECT doc_id, rank, category, round(score + 1e-10, 6) AS score "
+        "FROM rk WHERE rank = 1")
+    out["q_stopwords_table"] = out["q_stopwords"]
+    words = ("w AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS "
+             "word, generate_subscripts(string_split(lower(text), ' '), 1) - 1"
+             " AS i FROM benchmark)")
+    dim = ("dim AS (SELECT 'domain_' || (item_id % 7) AS domain, CASE WHEN i "
+           "% 4 = 0 THEN word WHEN n.word2 IS NULL THEN word ELSE word || ' '"
+           " || word2 END AS phrase, item_id * 100000 + i AS place FROM w "
+           "LEFT JOIN (SELECT item_id, i - 1 AS i, word AS word2 FROM w) n "
+           "USING (item_id, i))")
+    hits = ("hits AS MATERIALIZED (SELECT c.doc_id, p.phrase, p.place FROM "
+            "corpus c JOIN (SELECT phrase, min(place) AS place FROM dim WHERE "
+            "phrase <> '' GROUP BY phrase) p ON contains(lower(c.text), "
+            "p.phrase))")
+    by_domain = (
+        "lines AS (SELECT doc_id, domain, of_domain, 'Domain ' || "
+        "right(domain, 1) || ': ' || string_agg(phrase, ', ' ORDER BY place) "
+        "AS line FROM hits JOIN (SELECT DISTINCT domain, phrase FROM dim) "
+        "USING (phrase) JOIN (SELECT domain, min(place) AS of_domain FROM dim "
+        "WHERE phrase <> '' GROUP BY domain) USING (domain) GROUP BY doc_id, "
+        "domain, of_domain)")
+    out["q_dictionary_table"] = with_(corpus(), words, dim, hits, by_domain) + (
+        "SELECT doc_id, coalesce(h.n, 0)::INT AS n_skills, "
+        "md5(coalesce(h.s, '')) AS skills_digest, coalesce(g.n, 0)::INT AS "
+        "n_groups, md5(coalesce(g.s, '')) AS groups_digest FROM corpus "
+        "LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(phrase, ', ' "
+        "ORDER BY place) AS s FROM hits GROUP BY doc_id) h USING (doc_id) "
+        "LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(line, '; ' ORDER "
+        "BY of_domain) AS s FROM lines GROUP BY doc_id) g USING (doc_id)")
 
     out["q_ngrams"] = base + (
         "SELECT doc_id, count(*) AS n_grams, "
@@ -660,6 +723,17 @@ def statements() -> dict[str, str]:
         f" round(quantile_cont({c}, 0.5), 0) AS q50, "
         f"round(quantile_cont({c}, 0.75), 0) AS q75, max({c})::DOUBLE AS max "
         "FROM sizes" for c in ("char_len", "word_count"))
+    prices = ("sizes AS (SELECT p AS paid, p / l_quantity::DOUBLE AS "
+              "per_piece FROM (SELECT l_extendedprice::DOUBLE * (1 - "
+              "l_discount::DOUBLE) AS p, l_quantity FROM lineitem))")
+    out["q_describe_prices"] = with_(prices) + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c})::DOUBLE AS count, "
+        + ", ".join(f"round({x}, 0) AS {n}" for x, n in (
+            (f"avg({c})", "mean"), (f"stddev_samp({c})", "std"),
+            (f"min({c})", "min"), (f"quantile_cont({c}, 0.25)", "q25"),
+            (f"quantile_cont({c}, 0.5)", "q50"),
+            (f"quantile_cont({c}, 0.75)", "q75"), (f"max({c})", "max")))
+        + " FROM sizes" for c in ("paid", "per_piece"))
     out["q_histogram"] = with_(corpus(), sizes) + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, b.bin::INT AS bin, round(lo + b.bin * "
         "(hi - lo) / 40, 6) AS lower, round(lo + (b.bin + 1) * (hi - lo) / "

@@ -52,20 +52,33 @@ def _headers(spark: SparkSession, path: str) -> list[str] | None:
         return None
 
 
-def read_csv(spark: SparkSession, path: str, columns: Iterable[str]
-             ) -> DataFrame:
+def dealt(df: DataFrame, partitions: int | None, key: str | None = None
+          ) -> DataFrame:
+    """Rows over so many partitions, by ``key`` if given; None: as they lie.
+
+    For tables of few files or row groups, which are few tasks on any cluster;
+    tables of many need none, and whole texts would move for nothing.
+    """
+    if partitions is None:
+        return df
+    return df.repartition(partitions, *([key] if key else []))
+
+
+def read_csv(spark: SparkSession, path: str, columns: Iterable[str],
+             partitions: int | None = None) -> DataFrame:
     """All columns as strings, quoted line breaks kept, missing cells null.
 
-    Files with quoted line breaks cannot be split; store them as parquet once
-    before working on them at volume.
+    Files with quoted line breaks cannot be split: ``partitions`` deals their
+    rows out for what follows. At volume store them as parquet once.
     """
     names = list(columns)
     schema = ", ".join(f"`{c}` string" for c in names)
     raw = (spark.read.option("header", True).option("multiLine", True)
            .option("quote", '"').option("escape", '"')
            .schema(schema).csv(path))
-    return raw.select(*[F.when(~F.col(f"`{c}`").isin(fixed.CSV_MISSING),
-                               F.col(f"`{c}`")).alias(c) for c in names])
+    return dealt(raw, partitions).select(*[
+        F.when(~F.col(f"`{c}`").isin(fixed.CSV_MISSING), F.col(f"`{c}`"))
+        .alias(c) for c in names])
 
 
 def with_doc_id(df: DataFrame) -> DataFrame:
@@ -95,15 +108,19 @@ def drop_missing(corpus: DataFrame) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str, *, key: str = "doc_id",
-                 category: str = "category", text: str = "text") -> DataFrame:
-    """A corpus from parquet with the columns renamed to the usual three."""
+                 category: str = "category", text: str = "text",
+                 partitions: int | None = None) -> DataFrame:
+    """A corpus from parquet with the columns renamed to the usual three.
+
+    ``partitions`` deals the rows out by key, see :func:`dealt`.
+    """
     raw = require_columns(spark.read.parquet(path), key, category, text)
     # Columns that already fit are passed on as they are: an alias that
     # changes nothing can keep two uses of the corpus from sharing a shuffle.
     number = raw.schema[key].dataType.simpleString() == "bigint"
     picked = [renamed(key if number else F.col(key).cast("long"), "doc_id"),
               renamed(category, "category"), renamed(text, "text")]
-    return drop_missing(raw.select(*picked))
+    return dealt(drop_missing(raw.select(*picked)), partitions, "doc_id")
 
 
 def renamed(column: str | Column, name: str) -> Column:
