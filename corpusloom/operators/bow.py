@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ngrams
+from corpusloom.operators.tfidf import DOC_IDX, with_mark
 from corpusloom.operators.common import (BROADCAST_ROWS, bounded, dense_index,
                                          has_at_most, require_columns,
                                          top_rows)
 
+NO_TERMS = "After pruning, no terms remain."
+
 
 def label_encode(df: DataFrame, label_col: str = "category") -> DataFrame:
     """``(label, label_idx)``: distinct labels numbered in sorted order."""
@@ -56,35 +59,62 @@ def top_ngrams_by_label(matrix: DataFrame, vocabulary: DataFrame, n: int = 20,
 class BagOfNgrams:
     """A fitted count model. All members are lazy DataFrames.
 
-    ``matrix`` is ``(doc_id, category, term_idx, tf)``; documents without a
-    known term have no row in it but are part of ``docs``.
+    ``rows`` is ``(doc_id, category, term_idx, tf)`` with one row more for each
+    document, of ``term_idx`` -1: ``matrix`` is all but these, ``docs`` is
+    these, also of documents without a known term.
     """
 
-    docs: DataFrame
+    rows: DataFrame
     vocabulary: DataFrame
-    matrix: DataFrame
     ngram_range: tuple[int, int]
     max_features: int | None
 
+    @property
+    def matrix(self) -> DataFrame:
+        return self.rows.where(F.col("term_idx") > DOC_IDX)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.rows.where(F.col("term_idx") == DOC_IDX).select(
+            "doc_id", "category")
+
     @classmethod
     def fit(cls, docs: DataFrame, *, ngram_range: tuple[int, int] = (1, 2),
             max_features: int | None = 20_000, min_df: int | float = 2,
             max_df: int | float = 0.95) -> BagOfNgrams:
-        """``docs``: ``(doc_id, category, tokens)``, best from ``prepare``."""
+        """``docs``: ``(doc_id, category, tokens)``, best from ``prepare``.
+
+        Counts, number of documents and matrix read one scan: the mark row of
+        each document is counted along, and only known n-grams are counted per
+        document. If pruning leaves no term, whatever reads the matrix raises;
+        :meth:`check` runs the fit up to there and raises at once.
+        """
         require_columns(docs, "doc_id", "category", "tokens")
-        counts = ngrams.term_counts(docs, ngram_range=ngram_range)
-        n_docs = docs.agg(F.count(F.lit(1))).scalar()
-        kept = ngrams.prune(ngrams.corpus_counts(counts), n_docs,
-                            min_df, max_df)
+        counts = ngrams.corpus_counts(ngrams.term_counts(
+            docs, ngram_range=ngram_range, mark_docs=True))
+        mark = F.col("term") == ngrams.DOC_MARK
+        n_docs = counts.where(mark).agg(F.max("df")).scalar()
+        kept = ngrams.prune(counts.where(~mark), n_docs, min_df, max_df)
         vocabulary = ngrams.number_terms(
             ngrams.most_frequent(kept, max_features), max_features)
-        matrix = ngrams.matrix(counts, vocabulary, max_features)
-        return cls(docs, vocabulary, matrix, ngram_range, max_features)
+        terms = vocabulary.agg(F.count(F.lit(1))).scalar()
+        place = F.when(terms == 0, F.raise_error(F.lit(NO_TERMS)).cast("int")
+                       ).otherwise(F.lit(DOC_IDX))
+        marked = vocabulary.select("term", "term_idx", "df").unionByName(
+            docs.sparkSession.range(1).select(
+                F.lit(ngrams.DOC_MARK).alias("term"), place.alias("term_idx"),
+                F.lit(0).cast("long").alias("df")))
+        grams = ngrams.explode_ngrams(docs, ngram_range=ngram_range,
+                                      mark_docs=True)
+        rows = (ngrams.matrix(grams, marked, with_mark(max_features))
+                .groupBy("doc_id", "category", "term_idx")
+                .agg(F.count(F.lit(1)).alias("tf")))
+        return cls(rows, vocabulary, ngram_range, max_features)
 
     def check(self) -> BagOfNgrams:
         """Raise if pruning has left no term at all."""
         if self.vocabulary.isEmpty():
-            raise ValueError("After pruning, no terms remain.")
+            raise ValueError(NO_TERMS)
         return self
 
     def transform(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -105,17 +135,14 @@ class BagOfNgrams:
 
     def features(self) -> DataFrame:
         """One row per document: counts as a map, and the label number."""
-        rows = F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct("term_idx", "tf"))))
-        nested = self.matrix.groupBy("doc_id").agg(rows.alias("x"))
+        terms = F.map_from_entries(F.sort_array(F.collect_list(F.when(
+            F.col("term_idx") > DOC_IDX, F.struct("term_idx", "tf")))))
+        nested = self.rows.groupBy("doc_id", "category").agg(terms.alias("x"))
         index = self.label_index()
         few = BROADCAST_ROWS if has_at_most(index, 10_000) else None
-        empty = F.create_map().cast("map<int,bigint>")
-        return (self.docs.select("doc_id", F.col("category").alias("label"))
-                .join(nested, "doc_id", "left")
+        return (nested.withColumnRenamed("category", "label")
                 .join(bounded(index, few), "label")
-                .select("doc_id", F.coalesce("x", empty).alias("x"),
-                        F.col("label_idx").alias("y")))
+                .select("doc_id", "x", F.col("label_idx").alias("y")))
 
     def top_ngrams(self, n: int = 20) -> DataFrame:
         return top_ngrams(self.matrix, self.vocabulary, n, self.max_features)

@@ -662,6 +662,12 @@ def statements() -> dict[str, str]:
         "similarity_pct FROM best")
     four = ("asked AS (SELECT query_id, text, 4 AS top_n, "
             f"{nth(FILTERS, 'query_id')} AS flt FROM bench)")
+    unlabelled = ("asked AS (SELECT query_id, text, 4 AS top_n, NULL AS flt "
+                  "FROM bench)")
+    out["q_match_unlabelled"] = with_(*matches("asked", [BENCH, unlabelled])) + (
+        "SELECT query_id, rank, '?' AS Category, round(score * 100, 1) AS "
+        "similarity_pct, left(text, 250) || '...' AS resume_snippet FROM best "
+        "b JOIN corpus USING (doc_id)")
     out["q_match_index"] = with_(*matches("asked", [BENCH, four])) + (
         "SELECT query_id, rank, doc_id, category, round(score + 1e-10, 6) AS "
         "score FROM best")

@@ -8,11 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.common import NotFittedError
 from corpusloom.plans.model import (MIN_CLASSIFY_CHARS, MIN_MATCH_CHARS,
-                                    CorpusModel, accepted)
+                                    CorpusModel, split_by_length)
 
 TEXT_SCHEMA = "doc_id long, text string"
 QUERY_SCHEMA = ("query_id long, text string, top_n int, "
                 "category_filter string")
+MATCH_SCHEMA = ("query_id long, rank int, Category string, "
+                "similarity_pct double, resume_snippet string")
 
 
 def read_texts(spark: SparkSession, path: str, schema: str = TEXT_SCHEMA,
@@ -24,6 +26,19 @@ def read_texts(spark: SparkSession, path: str, schema: str = TEXT_SCHEMA,
     return reader.parquet(path)
 
 
+def _parted(batch: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    marked = split_by_length(batch, min_chars)
+    return (marked.where(F.col("status") == "accepted").drop("status"),
+            marked.where(F.col("status") == "rejected"))
+
+
+def _both(scored: DataFrame, short: DataFrame) -> DataFrame:
+    """Scored and rejected rows as one table, so one write holds both."""
+    return scored.withColumn("status", F.lit("accepted")).unionByName(
+        short.withColumn("status", F.lit("rejected")),
+        allowMissingColumns=True)
+
+
 def _write_batch(result: DataFrame, out: str, batch_id: int) -> None:
     # Every batch owns one directory, so a batch that is run again after a
     # failure replaces its own output and nothing else.
@@ -42,13 +57,18 @@ def _start(stream: DataFrame, handle, checkpoint: str, available_now: bool
 def classify_stream(stream: DataFrame, model: CorpusModel, out: str,
                     checkpoint: str, k: int = 5, available_now: bool = True
                     ) -> StreamingQuery:
-    """Top labels of arriving ``(doc_id, text)`` rows that are long enough."""
+    """Top labels of arriving ``(doc_id, text)`` rows.
+
+    Every row shows up: texts that are too short have one row without rank,
+    label and score and the ``status`` rejected.
+    """
     if model is None:
         raise NotFittedError("fit or load a model first")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        texts = accepted(batch, MIN_CLASSIFY_CHARS)
-        _write_batch(model.classify(texts, k), out, batch_id)
+        ok, short = _parted(batch, MIN_CLASSIFY_CHARS)
+        _write_batch(_both(model.classify(ok, k), short.select("doc_id")),
+                     out, batch_id)
 
     return _start(stream, handle, checkpoint, available_now)
 
@@ -56,15 +76,19 @@ def classify_stream(stream: DataFrame, model: CorpusModel, out: str,
 def match_stream(stream: DataFrame, model: CorpusModel, corpus: DataFrame,
                  out: str, checkpoint: str, available_now: bool = True
                  ) -> StreamingQuery:
-    """Best corpus rows for arriving queries that are long enough."""
+    """Best corpus rows for arriving queries.
+
+    Queries that are too short have one row with their id and the ``status``
+    rejected, also in a batch that has no others.
+    """
     if model is None:
         raise NotFittedError("fit or load a model first")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        asked = accepted(batch, MIN_MATCH_CHARS)
-        if asked.isEmpty():
-            return
-        _write_batch(model.match(asked, corpus), out, batch_id)
+        ok, short = _parted(batch, MIN_MATCH_CHARS)
+        found = (batch.sparkSession.createDataFrame([], MATCH_SCHEMA)
+                 if ok.isEmpty() else model.match(ok, corpus))
+        _write_batch(_both(found, short.select("query_id")), out, batch_id)
 
     return _start(stream, handle, checkpoint, available_now)
 

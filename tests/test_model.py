@@ -231,6 +231,9 @@ def test_empty_vocabulary(spark, tmp_path):
         CorpusModel.fit(empty).save(str(tmp_path / "m"))
     with pytest.raises(ValueError):
         bow.BagOfNgrams.fit(preprocess.prepare(empty, min_chars=None)).check()
+    with pytest.raises(Exception, match="no terms remain"):
+        bow.BagOfNgrams.fit(preprocess.prepare(empty, min_chars=None)
+                            ).matrix.collect()
 
 
 def test_bag_limits_and_ties(spark):
@@ -316,9 +319,17 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     run.awaitTermination()
     got = scoring.read_results(spark, out)
     assert got.select("batch_id").distinct().count() == 3
-    long_enough = texts.where(F.length("text") >= 20)
-    assert sorted(got.drop("batch_id").collect()) == sorted(
-        stored.classify(long_enough, 2).collect())
+    short = F.length("text") < 20
+    assert {r.doc_id for r in got.collect()} == {
+        r.doc_id for r in texts.collect()}
+    assert sorted(got.where("status = 'accepted'").drop("batch_id", "status")
+                  .collect()) == sorted(
+        stored.classify(texts.where(~short), 2).collect())
+    refused = got.where("status = 'rejected'").collect()
+    assert sorted(r.doc_id for r in refused) == sorted(
+        r.doc_id for r in texts.where(short).collect())
+    assert {(r["rank"], r.category, r.score) for r in refused} == {
+        (None, None, None)}
 
     asked = docs.select(F.col("doc_id").alias("query_id"), "text",
                         F.lit(3).alias("top_n"),
@@ -329,8 +340,23 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     scoring.match_stream(stream, stored, docs, str(tmp_path / "mo"),
                          str(tmp_path / "mc")).awaitTermination()
     want = stored.match(asked.where(F.length("text") >= 10), docs)
-    assert sorted(scoring.read_results(spark, str(tmp_path / "mo"))
-                  .drop("batch_id").collect()) == sorted(want.collect())
+    found = scoring.read_results(spark, str(tmp_path / "mo"))
+    assert sorted(found.where("status = 'accepted'").drop("batch_id", "status")
+                  .collect()) == sorted(want.collect())
+    assert {r.query_id for r in found.collect()} == {
+        r.query_id for r in asked.collect()}
+
+    # a batch of rejected queries only is written too
+    spark.createDataFrame([(1, "tiny", 3, None), (2, None, 3, None)],
+                          scoring.QUERY_SCHEMA).coalesce(1).write.parquet(
+        str(tmp_path / "q2"))
+    scoring.match_stream(
+        scoring.read_texts(spark, str(tmp_path / "q2"), scoring.QUERY_SCHEMA),
+        stored, docs, str(tmp_path / "m2"), str(tmp_path / "c2")
+    ).awaitTermination()
+    assert sorted((r.query_id, r.status, r["rank"]) for r in
+                  scoring.read_results(spark, str(tmp_path / "m2")).collect()
+                  ) == [(1, "rejected", None), (2, "rejected", None)]
 
 
 def test_stored_model_keeps_its_parameters(spark, docs, tmp_path):
