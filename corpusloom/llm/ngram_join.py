@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import (components, counted, cut, in_pieces,
-                                   may_be_in, slim, table, widened)
+from corpusloom.llm.shared import (components, counted, cut, discard,
+                                   in_pieces, may_be_in, slim, table, widened)
 from corpusloom.llm.shingles import mixed, shingle_set
 
 EXPECTED = 14.0
@@ -191,10 +191,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame,
         & (F.col("s.f1") == F.col("w.f1")) & (F.col("s.f2") == F.col("w.f2")))
         .select("cid", "n", "shingles").dropDuplicates(["cid"]))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.join(sets.toDF("a", "na", "sa"), "a")
-               .join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", both)
-               .where("100L * both >= 80L * (na + nb - both)")
-               .select("a", "b"))
+    found = cut(pairs.join(sets.toDF("a", "na", "sa"), "a")
+                .join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", both)
+                .where("100L * both >= 80L * (na + nb - both)")
+                .select("a", "b"))
+    discard(wanted, sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id",
@@ -226,6 +228,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
         classes.alias("c"), F.col("f.key").eqNullSafe(F.col("c.first"))
         & (F.col("f.f1") == F.col("c.f1")) & (F.col("f.f2") == F.col("c.f2")))
         .select("cid", "f.n", "bits", "bands"))
+    rows = cut(features.drop("bits", "bands"))
+    discard(features)
     signs = (heads.select("cid", F.explode("bands").alias("band"))
              .select("cid", "band.*")
              .select("cid", "band", "spare",
@@ -239,24 +243,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
         blocks.select(F.explode(F.array("a", "b")).alias("cid"))
         .union(members.select("cid")).distinct(), "cid")
         .dropDuplicates(["cid"]))
+    discard(heads)
 
     stars = cut(_stars(blocks, members).alias("p").join(sketch.alias("x"), F.expr(
         "p.a = x.cid")).join(sketch.alias("y"), F.expr("p.b = y.cid")
                              & _close("x", "y")).select("p.a", "p.b"))
+    discard(blocks)
     links = _verified(stars, classes, docs, key, text)
     label = components(links)
 
-    rest = cut(_unresolved(members, label).join(sketch, "cid"))
+    rest = _unresolved(members, label, sketch)
+    discard(members, sketch, links)
     pairs, n_pairs = counted(rest.alias("x").join(rest.alias("y"), F.expr(
         "x.sign = y.sign and x.cid < y.cid and x.component <> y.component")
         & _close("x", "y"))
         .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         .distinct().join(stars, ["a", "b"], "left_anti"))
-    more, found = counted(_verified(pairs, classes, docs, key, text)
-                          ) if n_pairs else (pairs, 0)
-    if found:
-        label = _joined(label, more)
-    return _labelled(features, classes, label, key)
+    discard(rest, stars)
+    if n_pairs:
+        more, found = counted(_verified(pairs, classes, docs, key, text))
+        label = _joined(label, more) if found else label
+    discard(pairs)
+    return _labelled(rows, classes, label, key)
 
 
 def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
@@ -283,8 +291,10 @@ def _stars(blocks: DataFrame, members: DataFrame) -> DataFrame:
     return blocks.where("size = 2").select("a", "b").union(rays).distinct()
 
 
-def _unresolved(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (sign, cid, component) of blocks with several components."""
+def _unresolved(members: DataFrame, label: DataFrame, sketch: DataFrame
+                ) -> DataFrame:
+    """Rows (sign, cid, component) of blocks with several components, with
+    their sketches."""
     named = cut(members.join(label.withColumnRenamed("node", "cid"), "cid",
                              "left")
                 .withColumn("component", F.coalesce("component", "cid")))
@@ -298,7 +308,10 @@ def _unresolved(members: DataFrame, label: DataFrame) -> DataFrame:
     open_ = (kept.groupBy("sign").agg(F.min("component").alias("lo"),
                                       F.max("component").alias("hi"))
              .where("lo < hi").select("sign"))
-    return kept.join(open_, "sign").select("sign", "cid", "component")
+    rest = cut(kept.join(open_, "sign").select("sign", "cid", "component")
+               .join(sketch, "cid"))
+    discard(named)
+    return rest
 
 
 def _labelled(features: DataFrame, classes: DataFrame, label: DataFrame,

@@ -37,13 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as a table and go on from there.
 
     One job, where a checkpoint runs the last stage twice, and the rows take
-    less room. The table stays in the shared folder, which is cleared with its
-    checkpoints.
+    less room. ``discard`` removes the table; what a result still reads stays
+    in the shared folder, which is cleared with its checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.table_path = path
+    return kept
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of ``cut`` that nothing reads any more."""
+    for kept in tables:
+        if kept is not None and hasattr(kept, "table_path"):
+            spark = kept.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(kept.table_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(
+                path, True)
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -179,12 +191,15 @@ def components(edges: DataFrame) -> DataFrame:
         return links.select(F.col("a").alias("node"),
                             F.col("b").alias("component"))
     place = None
+    discard(links)
     while rounds:
-        moves = _moves(rounds[-1], len(rounds))
-        rounds.pop()
-        if place is not None:
-            moves = moves.join(place.toDF("at", "to"), "at", "left").select(
+        moves, later = _moves(rounds[-1], len(rounds)), place
+        if later is not None:
+            moves = moves.join(later.toDF("at", "to"), "at", "left").select(
                 "node", F.coalesce("to", "at").alias("at"))
         place = cut(moves)
+        discard(rounds.pop(), later)
     label = place.groupBy("at").agg(F.min("node").alias("component"))
-    return cut(place.join(label, "at").select("node", "component"))
+    found = cut(place.join(label, "at").select("node", "component"))
+    discard(place)
+    return found

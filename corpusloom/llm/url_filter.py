@@ -9,20 +9,22 @@ functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import cut, slim, table, widened
+from corpusloom.llm.shared import cut, discard, slim, table, widened
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"),
          ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
          ("net", "/fr/", "block")]
 DAMPING = 0.85
-ROUNDS = 8
+ROUNDS = 60       # 0.85 ** 60 leaves less than 1e-4 of any weight
+TOLERANCE = 1e-4  # rounds end when no score changes by more
 THRESHOLD = 0.1  # a host is blocked where distrust exceeds trust by so much
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?i)<a\b[^>]{0,1000}?\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^\"'\s>/?#]+)"
+_ANCHOR = r"(?i)<a\b[^>]*+"  # gives nothing back: linear whatever the page
+_LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^\"'\s>/?#]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -35,12 +37,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and all domains it belongs to."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)),
-                       lambda i: F.array_join(F.slice(
-                           labels, i, F.size(labels) - i + 1), "."))
+def labels_of(host: Column) -> Column:
+    return F.size(F.split(host, r"\."))
+
+
+def suffixes(host: Column, most: Column) -> Column:
+    """The host's domains of at most so many labels, itself included."""
+    return F.transform(F.sequence(F.lit(1), F.least(labels_of(host), most)),
+                       lambda i: F.call_function("substring_index", host,
+                                                 F.lit("."), -i))
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -60,8 +65,12 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = pages.select("host").where("host <> ''").distinct()
     known = rules.select(F.col("host").alias("domain"),
                          F.col("path").alias("start"), "verdict").distinct()
-    fit = (hosts.select("host", F.explode(suffixes(F.col("host")))
-                        .alias("domain"))
+    # no domain of more labels than a rule's host can fit
+    most = rules.agg(F.coalesce(F.max(labels_of(F.col("host"))), F.lit(1))
+                     ).scalar()
+    fit = (hosts.withColumn("most", most)
+           .select("host", F.explode(suffixes(F.col("host"), F.col("most")))
+                   .alias("domain"))
            .join(known, "domain")
            .groupBy("host").agg(F.collect_list(F.struct(
                (F.length("domain") + F.length("start")).alias("size"),
@@ -86,8 +95,10 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     targets = F.array_distinct(F.transform(
         F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")),
-                             F.lit(_LINK), F.lit(1)),
-        lambda h: F.translate(h, _CAPITALS, _CAPITALS.lower())))
+                             F.lit(_ANCHOR), F.lit(0)),
+        lambda a: F.translate(F.regexp_extract(a, _LINK, 1), _CAPITALS,
+                              _CAPITALS.lower())))
+    targets = F.filter(targets, lambda h: h != "")
     linked = (pages.where("host <> ''")
               .select(F.col("host").alias("src"),
                       F.explode(targets).alias("dst"))
@@ -104,12 +115,15 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS,
-              damping: float = DAMPING) -> DataFrame:
+              damping: float = DAMPING, tolerance: float = TOLERANCE
+              ) -> DataFrame:
     """Trust and distrust of every host reached: (host, trust, distrust).
 
     ``seeds``: host, weight from -1 (blocked) to 1 (trusted). Each round a
     host passes on ``damping`` of what it has, in proportion to its links:
     trust along them, distrust against them. What has nowhere to go is lost.
+    Rounds go on until no score changes by more than ``tolerance``, at most
+    ``rounds``.
     """
     ways = (edges.select(F.lit(1).alias("way"), F.col("src").alias("host"),
                          "dst", "links")
@@ -121,14 +135,25 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS,
     start = cut(seeds.where("weight <> 0").select(
         F.signum("weight").cast("int").alias("way"), "host",
         (F.abs("weight") * (1 - damping)).alias("score")))
-    score = start
+    score, nothing = start, F.lit(0.0).alias("before")
     for _ in range(rounds):
         passed = ways.join(score, ["way", "host"]).select(
             "way", F.col("dst").alias("host"),
-            (F.col("score") * F.col("share") * damping).alias("score"))
+            (F.col("score") * F.col("share") * damping).alias("score"), nothing)
+        before = score.select("way", "host", F.lit(0.0), "score")
+        moved, seen = F.col("score") - F.col("before"), Observation()
         # rounded, as sums of doubles depend on their order
-        score = cut(passed.union(start).groupBy("way", "host").agg(
-            F.round(F.sum("score"), 12).alias("score")))
+        after = (passed.union(start.select("*", nothing)).union(before)
+                 .groupBy("way", "host").agg(
+                     F.round(F.sum("score"), 12).alias("score"),
+                     F.max("before").alias("before")))
+        after = cut(after.observe(seen, F.max(F.abs(moved)).alias("change"))
+                    .drop("before"))
+        if score is not start:
+            discard(score)
+        score = after
+        if (seen.get["change"] or 0.0) <= tolerance:
+            break
     side = F.sum(F.when(F.col("way") == 1, F.col("score"))
                  .otherwise(0.0)).alias("trust")
     other = F.sum(F.when(F.col("way") == -1, F.col("score"))

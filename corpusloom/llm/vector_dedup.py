@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import components, cut, table
+from corpusloom.llm.shared import components, cut, discard, in_pieces, table
 
 THRESHOLD = 0.93
 PROBES = 8
@@ -33,13 +33,19 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
                       + (centres * centres).sum(1))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, rows: int = 2048
+             ) -> np.ndarray:
+    """Nearest centre of each row, with few distances in memory at a time."""
+    return np.concatenate([_distances(x[i:i + rows], centres).argmin(1)
+                           for i in range(0, len(x), rows)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5
            ) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([_distances(x[i:i + 8192], centres).argmin(1)
-                               for i in range(0, len(x), 8192)])
+        near = _nearest(x, centres)
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
         n = np.bincount(near, minlength=len(centres))
@@ -58,7 +64,7 @@ class Index:
     @classmethod
     def fit(cls, x: np.ndarray, lists: int) -> Index:
         centres = kmeans(x, lists)
-        near = _distances(x, centres).argmin(1)
+        near = _nearest(x, centres)
         parts = np.array_split(np.arange(x.shape[1]),
                                min(PARTS, x.shape[1]))
         rest = x - centres[near]
@@ -193,10 +199,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id",
         rows.where("usable").groupBy("label", "embedding")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first"))
         .withColumn("cid", F.monotonically_increasing_id()))
-    found = None
+    found, parts = None, []
     for (width,) in classes.select(F.size("embedding")).distinct().collect():
-        part = _links(classes.where(F.size("embedding") == width), threshold,
-                      probes)
+        part, placed = _links(classes.where(F.size("embedding") == width),
+                              threshold, probes)
+        parts.append(placed)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("key").alias(key),
@@ -204,6 +211,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id",
                            F.col("key").alias("component_id"),
                            F.lit(True).alias("kept"))
     found = cut(found)
+    discard(*parts)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comps = components(found.selectExpr("cid a", "root b"))
     of = (classes.join(links, "cid", "left")
@@ -224,8 +232,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id",
         F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, threshold: float, probes: int) -> DataFrame:
-    """(cid, links, root) for classes whose vectors have the same length."""
+def _links(classes: DataFrame, threshold: float, probes: int
+           ) -> tuple[DataFrame, DataFrame]:
+    """(cid, links, root) for classes whose vectors have the same length, and
+    the table that this still reads."""
     n, labels = classes.agg(F.count(F.lit(1)),
                             F.approx_count_distinct("label")).first()
     lists = int(min(MAX_LISTS, max(1, np.ceil(np.sqrt(n / max(1, labels))))))
@@ -235,7 +245,7 @@ def _links(classes: DataFrame, threshold: float, probes: int) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def place(batches):
-        for batch in batches:
+        for batch in in_pieces(batches, 1024):
             if len(batch):
                 lists = shared.value.place(unit(batch.embedding), probes)
                 yield batch.assign(home=lists[:, 0].astype(np.int32),
@@ -272,7 +282,7 @@ def _links(classes: DataFrame, threshold: float, probes: int) -> DataFrame:
                          "home", "probes", "embedding")
             .groupBy("label", "list", "qa", "qb").applyInPandas(
                 lambda rows: compare(shared.value, rows, threshold),
-                "cid long, links long, root long"))
+                "cid long, links long, root long")), placed
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -574,6 +574,54 @@ def test_distrust_goes_against_links(spark):
 
 # -- shared ------------------------------------------------------------------
 
+def ranks_by_hand(seeds, edges, way):
+    """Personalised PageRank by plain iteration, far beyond convergence."""
+    links = defaultdict(float)
+    for a, b, n in edges:
+        links[(a, b) if way > 0 else (b, a)] += n
+    total = defaultdict(float)
+    for (a, _), n in links.items():
+        total[a] += n
+    start = {h: 0.15 * abs(w) for h, w in seeds if w * way > 0}
+    score = dict(start)
+    for _ in range(300):
+        after = defaultdict(float, start)
+        for (a, b), n in links.items():
+            after[b] += 0.85 * score.get(a, 0) * n / total[a]
+        score = after
+    return score
+
+
+def test_ranks_converge(spark):
+    """Against plain iteration, on a chain longer than any fixed few rounds."""
+    rng = random.Random(8)
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(30)]
+    edges += [(f"h{rng.randrange(30)}", f"h{rng.randrange(30)}",
+               rng.randint(1, 4)) for _ in range(25)]
+    edges = [(a, b, n) for a, b, n in dict.fromkeys(edges) if a != b]
+    seeds = [("h0", 1.0), ("h30", -1.0), ("h7", 0.4), ("h12", 0.0)]
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(
+        spark.createDataFrame(seeds, "host string, weight double"),
+        spark.createDataFrame(edges, "src string, dst string, links long"),
+        tolerance=1e-7).collect()}
+    for place, way in ((0, 1), (1, -1)):
+        want = ranks_by_hand(seeds, edges, way)
+        for host, score in want.items():
+            assert abs(got.get(host, (0, 0))[place] - score) < 1e-5
+    assert got["h20"][0] > 0 and got["h3"][1] > 0
+
+
+def test_links_behind_long_attributes_and_hosts_of_many_labels(spark):
+    long = "x" * 5000
+    rows = [(1, "http://farm.org/", f'<a title="{long}" href="http://b.net/">'
+             + "<a " * 20_000), (2, "http://b.net/es/", None),
+            (3, f"http://{'a.' * 20_000}net/es/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert got[1].distrust > 0.1 and got[1].verdict == "block"
+    assert got[3].rule == "net/es/"
+
+
 def test_clean_sources_name_no_local_folder():
     root = Path(language_id.__file__).parent
     for path in root.glob("*.py"):
