@@ -53,11 +53,14 @@ def explode_ngrams(df: DataFrame, tokens: str = "tokens",
 
 
 def doc_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "category"),
-             **options) -> DataFrame:
-    """The ``keep`` columns of every document, without a pass of their own:
-    they read the same shuffle of token rows as the counts do."""
-    marked = explode_ngrams(df, keep=keep, mark_docs=True, **options)
-    return marked.where(F.col("term") == DOC_MARK).drop("term")
+             tokens: str = "tokens") -> DataFrame:
+    """The ``keep`` columns of every document, without a pass of their own.
+
+    A generator of one row looks at the tokens, so that this reads the same
+    shuffle of token rows as the counts do, not one without tokens.
+    """
+    return df.select(*keep, F.explode(F.array(F.size(tokens))).alias("_n")
+                     ).drop("_n")
 
 
 def term_counts(df: DataFrame, *, keep: tuple[str, ...] = ("doc_id",

@@ -69,6 +69,9 @@ def prepare(corpus: DataFrame, *, text_col: str = "text",
         key, *keep, "text")
     ready = with_tokens(with_cleaned(source).select(key, *keep, "cleaned"),
                         key=key, **options).select(key, *keep, "tokens")
+    # short rows go after the shuffle, so that a fit and the texts of the same
+    # corpus to score read the same one
+    ready = ready.repartition(key)
     if min_chars is not None:
         ready = keep_rows(ready, "tokens", F.length(
             tokens.join_tokens(F.col("tokens"))) > min_chars)
@@ -78,7 +81,7 @@ def prepare(corpus: DataFrame, *, text_col: str = "text",
         # vectorisers skip tokens of one character
         ready = ready.withColumn("tokens", tokens.keep_long(
             F.col("tokens"), 2))
-    return ready.repartition(key)
+    return ready
 
 
 def prepare_texts(texts: DataFrame, **options) -> DataFrame:

@@ -81,7 +81,7 @@ class CorpusModel:
         weights = tfidf.transform(
             ready, vocabulary, max_features=max_features,
             ngram_range=ngram_range, keep=("category",))
-        docs = ngrams.doc_rows(ready, ngram_range=ngram_range)
+        docs = ngrams.doc_rows(ready)
         return cls(vocabulary, weights, centroid.fit_centroids(weights), docs,
                    max_features, ngram_range, centroid_rows, options, ready,
                    labelled)
@@ -153,9 +153,9 @@ class CorpusModel:
 
     # -- use -------------------------------------------------------------
 
-    def vectorize(self, prepared: DataFrame, key: str = "doc_id"
-                  ) -> DataFrame:
-        return tfidf.transform(prepared, self.vocabulary, key=key,
+    def vectorize(self, prepared: DataFrame, key: str = "doc_id",
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+        return tfidf.transform(prepared, self.vocabulary, key=key, keep=keep,
                                max_features=self.max_features,
                                ngram_range=self.ngram_range)
 
@@ -163,13 +163,19 @@ class CorpusModel:
         return centroid.labels(self.centroids)
 
     def scores(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-        """Scores of every label for raw ``(key, text)`` rows."""
-        ready = preprocess.prepare_texts(texts, key=key, **dict(self.options))
-        return self.prepared_scores(ready, key)
+        """Scores of every label for raw ``(key, text)`` rows.
 
-    def prepared_scores(self, ready: DataFrame, key: str = "doc_id"
-                        ) -> DataFrame:
-        return centroid.label_scores(self.vectorize(ready, key),
+        A ``category`` column is carried along unread: the corpus of the fit is
+        then cleaned and shuffled once for both.
+        """
+        keep = ("category",) if "category" in texts.columns else ()
+        ready = preprocess.prepare_texts(texts, key=key, keep=keep,
+                                         **dict(self.options))
+        return self.prepared_scores(ready, key, keep)
+
+    def prepared_scores(self, ready: DataFrame, key: str = "doc_id",
+                        keep: tuple[str, ...] = ()) -> DataFrame:
+        return centroid.label_scores(self.vectorize(ready, key, keep),
                                      self.centroids, self.centroid_rows, key)
 
     def classify(self, texts: DataFrame, k: int = 5, key: str = "doc_id"
