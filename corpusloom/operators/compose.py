@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import extraction, fixed
 from corpusloom.functions.text import filled, stripped
+from corpusloom.operators import dictionary as tables
 from corpusloom.operators.common import require_columns
 
 RESPONSE_SCHEMA = "content array<struct<type: string, text: string>>"
@@ -30,10 +31,19 @@ def template_dim(spark: SparkSession) -> DataFrame:
               "offers array<string>")
 
 
-def extract(people: DataFrame, dictionary: extraction.Dictionary = fixed.SKILLS
-            ) -> DataFrame:
-    """Add ``skills``, ``years`` (digits) and ``skill_groups``."""
+def extract(people: DataFrame, dictionary: extraction.Dictionary | DataFrame
+            = fixed.SKILLS, key: str = "doc_id") -> DataFrame:
+    """Add ``skills``, ``years`` (digits) and ``skill_groups``.
+
+    ``dictionary`` is a mapping of some hundred phrases, or a table ``(domain,
+    phrase, place)`` of any size; ``key`` must then tell the rows apart.
+    """
     require_columns(people, "text")
+    if isinstance(dictionary, DataFrame):
+        found = tables.group_phrases(tables.find_phrases(
+            people, dictionary, key), dictionary, key)
+        return found.withColumn("years", extraction.years_digits(
+            F.lower(filled(F.col("text")))))
     lowered = people.withColumn("_low", F.lower(filled(F.col("text"))))
     found = lowered.withColumn(
         "skills", extraction.find_phrases(F.col("_low"), dictionary))
@@ -117,9 +127,12 @@ def with_document(titled: DataFrame, templates: DataFrame | None = None
 
 
 def generate(people: DataFrame, titles: DataFrame | None = None,
-             templates: DataFrame | None = None) -> DataFrame:
+             templates: DataFrame | None = None,
+             dictionary: extraction.Dictionary | DataFrame = fixed.SKILLS
+             ) -> DataFrame:
     """``text`` and ``category`` in, ``document`` and its facts added."""
-    return with_document(with_title(extract(people), titles), templates)
+    return with_document(with_title(extract(people, dictionary), titles),
+                         templates)
 
 
 def prompt(text: Column, category: Column | None = None,

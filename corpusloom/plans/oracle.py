@@ -446,6 +446,11 @@ def statements() -> dict[str, str]:
         "SELECT category, count(*) AS n_rows, sum(length(text))::BIGINT AS "
         "n_chars FROM (SELECT category, text FROM corpus UNION ALL SELECT * "
         f"FROM (VALUES {rows})) GROUP BY category")
+    missing = ", ".join(lit(x) for x in fixed.CSV_MISSING)
+    out["q_csv"] = with_(corpus("source")) + (
+        "SELECT category, count(*) AS n_rows, sum(length(text))::BIGINT AS "
+        f"n_chars, {summed('text')} AS digest FROM corpus WHERE category NOT "
+        f"IN ({missing}) AND text NOT IN ({missing}) GROUP BY category")
     out["q_row_index"] = with_(corpus()) + (
         "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index "
         "FROM corpus")

@@ -81,6 +81,15 @@ def read_csv(spark: SparkSession, path: str, columns: Iterable[str],
         .alias(c) for c in names])
 
 
+def write_csv(corpus: DataFrame, path: str) -> None:
+    """The two columns of a corpus as CSV that :func:`read_csv` reads back."""
+    require_columns(corpus, "category", "text")
+    (corpus.select(F.col("category").alias(CATEGORY), F.col("text").alias(TEXT))
+     .write.option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def with_doc_id(df: DataFrame) -> DataFrame:
     """Ids that rise with file position; unique, not dense."""
     return df.withColumn("doc_id", F.monotonically_increasing_id())

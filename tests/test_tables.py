@@ -10,9 +10,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import cleaning
-from corpusloom.operators import (bow, centroid, common, dictionary, ngrams,
-                                  preprocess, profile, token_rows)
+from corpusloom.functions import cleaning, fixed
+from corpusloom.operators import (bow, centroid, common, compose, dictionary,
+                                  ngrams, preprocess, profile, token_rows)
 from corpusloom.sources import corpus as source
 
 
@@ -55,6 +55,20 @@ def test_dictionary_against_brute_force(spark):
     assert "CartesianProduct" not in plan(found)
 
 
+def test_documents_by_a_dictionary_table(spark):
+    """The built-in dictionary as a table gives the built-in documents."""
+    rows = [(d, p, i) for i, (d, p) in enumerate(
+        (d, p) for d, ps in fixed.SKILLS.items() for p in ps)]
+    dim = spark.createDataFrame(rows, "domain string, phrase string, place int")
+    people = spark.createDataFrame(
+        [(1, "Testing", "Python and SQL, 5 years, Docker, C++ and R"),
+         (2, "HR", ""), (3, None, None), (4, "x", "KUBERNETES 3 yrs")],
+        "doc_id long, category string, text string")
+    want = compose.generate(people).select("doc_id", "document", "skills")
+    got = compose.generate(people, dictionary=dim).select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_dictionary_meets_on_rare_grams(spark):
     dim = spark.createDataFrame(
         [("d", "the quixotic", 0), ("d", "the absent", 1)],
