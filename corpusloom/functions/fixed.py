@@ -240,6 +240,11 @@ PROMPT_BODY = ("\n\nInclude: Job Title, Summary (2-3 sentences), "
                "repeat any phrase twice.\n\nResume:\n")
 PROMPT_CHARS = 3000
 
+# The two columns of a corpus file, and where one may lie.
+CSV_CATEGORY, CSV_TEXT = "Category", "Resume"
+CSV_PATHS = ("ResumeDataSet.csv", "../ResumeDataSet.csv",
+             "data/ResumeDataSet.csv")
+
 # Cells that a CSV reader takes for a missing value.
 CSV_MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN",
                "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",

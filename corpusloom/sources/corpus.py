@@ -12,10 +12,6 @@ from corpusloom.functions import fixed
 from corpusloom.functions.text import file_key
 from corpusloom.operators.common import require_columns
 
-CATEGORY, TEXT = "Category", "Resume"
-CANDIDATES = ("ResumeDataSet.csv", "../ResumeDataSet.csv",
-              "data/ResumeDataSet.csv")
-
 # Our own rows for a first try without any file: six labels, 3+3+3+3+3+2.
 INLINE_ROWS = [
     ("Data Science", "Statistics and machine learning with Python and pandas for 4 years"),
@@ -84,7 +80,8 @@ def read_csv(spark: SparkSession, path: str, columns: Iterable[str],
 def write_csv(corpus: DataFrame, path: str) -> None:
     """The two columns of a corpus as CSV that :func:`read_csv` reads back."""
     require_columns(corpus, "category", "text")
-    (corpus.select(F.col("category").alias(CATEGORY), F.col("text").alias(TEXT))
+    (corpus.select(F.col("category").alias(fixed.CSV_CATEGORY),
+                   F.col("text").alias(fixed.CSV_TEXT))
      .write.option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
@@ -95,7 +92,7 @@ def with_doc_id(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.monotonically_increasing_id())
 
 
-def load_corpus(spark: SparkSession, paths: Sequence[str] = CANDIDATES
+def load_corpus(spark: SparkSession, paths: Sequence[str] = fixed.CSV_PATHS
                 ) -> DataFrame:
     """``(doc_id, category, text)`` of the first usable CSV file.
 
@@ -104,11 +101,11 @@ def load_corpus(spark: SparkSession, paths: Sequence[str] = CANDIDATES
     """
     for path in paths:
         names = _headers(spark, path)
-        if names and {CATEGORY, TEXT} <= set(names):
+        if names and {fixed.CSV_CATEGORY, fixed.CSV_TEXT} <= set(names):
             found = with_doc_id(read_csv(spark, path, names))
             return drop_missing(found.select(
-                "doc_id", F.col(CATEGORY).alias("category"),
-                F.col(TEXT).alias("text")))
+                "doc_id", F.col(fixed.CSV_CATEGORY).alias("category"),
+                F.col(fixed.CSV_TEXT).alias("text")))
     return inline_corpus(spark)
 
 

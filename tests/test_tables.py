@@ -229,6 +229,24 @@ def test_mail_pattern_is_linear_and_equal(spark):
     assert time.perf_counter() - start < 5
 
 
+def test_folding_makes_three_tokens_of_a_character_at_most():
+    """What the bound on the tokens of a query counts on."""
+    _, one, several = cleaning._fold_tables()
+    assert set(map(len, one)) <= {1}
+    assert max(len(re.findall("[a-zA-Z]+|[0-9]+", x))
+               for x in several.values()) <= 3
+
+
+def test_texts_processed_elsewhere(spark):
+    df = spark.createDataFrame(
+        [(1, "a", "Some alpha, beta x"), (2, "a", None), (3, None, "é")],
+        "doc_id long, category string, text string")
+    done = preprocess.with_tokens(preprocess.with_cleaned(df))
+    got = preprocess.from_processed(done).select("doc_id", "tokens")
+    want = preprocess.prepare(df, min_chars=None).select("doc_id", "tokens")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_source_partitions(spark, tmp_path):
     path = str(tmp_path / "d")
     spark.range(100).selectExpr("id as doc_id", "'x' as category",
