@@ -55,23 +55,33 @@ def with_tokens(df: DataFrame, cleaned_col: str = "cleaned", *,
 
 def prepare(corpus: DataFrame, *, text_col: str = "text",
             key: str = "doc_id", keep: Iterable[str] = ("category",),
-            min_chars: int | None = MIN_CORPUS_CHARS, **options) -> DataFrame:
+            min_chars: int | None = MIN_CORPUS_CHARS, show: bool = False,
+            **options) -> DataFrame:
     """Clean and process a corpus; drop rows with too little text left.
 
     The result holds ``key``, the ``keep`` columns and the ``tokens`` that
     vectorisers use, hash partitioned by ``key``: what is later grouped by
     document, alone or with more columns, needs no further shuffle. It is the
     compact token rows that move, once, not raw text or exploded terms.
+    ``show`` keeps ``cleaned`` and ``processed`` as well, for reports.
     """
     keep = list(keep)
     require_columns(corpus, key, text_col, *keep)
     source = corpus.withColumnRenamed(text_col, "text").select(
         key, *keep, "text")
     ready = with_tokens(with_cleaned(source).select(key, *keep, "cleaned"),
-                        key=key, **options).select(key, *keep, "tokens")
+                        key=key, **options).select(
+        key, *keep, "tokens", *(["cleaned"] if show else []))
     # short rows go after the shuffle, so that a fit and the texts of the same
     # corpus to score read the same one
     ready = ready.repartition(key)
+    if show:
+        # a generator of one row looks at both columns, so that all uses of
+        # the rows read one shuffle, whichever columns they need
+        ready = ready.withColumn("processed", tokens.join_tokens(
+            F.col("tokens"))).select("*", F.explode(F.array(
+                F.length("cleaned") + F.size("tokens"))).alias("_n")
+        ).drop("_n")
     if min_chars is not None:
         ready = keep_rows(ready, "tokens", F.length(
             tokens.join_tokens(F.col("tokens"))) > min_chars)

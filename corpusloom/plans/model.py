@@ -186,13 +186,14 @@ class CorpusModel:
     def classify_report(self, texts: DataFrame, k: int = 5,
                         key: str = "doc_id") -> DataFrame:
         """One row per text: best label, its score, the top ``k``, and the
-        cleaned and the processed text."""
-        nested = centroid.nested_topk(self.classify(texts, k, key), key)
-        shown = preprocess.with_tokens(
-            preprocess.with_cleaned(texts.select(key, "text")), key=key,
-            **dict(self.options)).drop("tokens", "text")
+        cleaned and the processed text. Each text is cleaned once; ``key``
+        tells the texts apart."""
+        ready = preprocess.prepare_texts(texts, key=key, show=True,
+                                         **dict(self.options))
+        nested = centroid.nested_topk(centroid.predict_topk(
+            self.prepared_scores(ready, key), k, key), key)
         best = F.get("top_k", 0)
-        return (shown.join(nested, key)
+        return (ready.join(nested, key)
                 .select(key, best["category"].alias("category"),
                         best["score"].alias("score"), "top_k", "cleaned",
                         "processed"))
