@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 # Rows of one key that a task should join at most.
 SALT_ROWS = 1_000_000
+# Slices of a key range; beyond so many million rows they hold more each.
+MOST_SLICES = 1_000
 
 
 class NotFittedError(RuntimeError):
@@ -88,37 +90,44 @@ def top_rows(df: DataFrame, partition: list[str], order: list[Column],
             .where(F.col(rank) <= n))
 
 
-def with_slice(df: DataFrame, key: str, slices: int = 64) -> DataFrame:
+def with_slice(df: DataFrame, key: str, slices: int | None = None
+               ) -> DataFrame:
     """Add ``_slice``: the number of the slice of the key range of a row.
 
-    The split points come from a few keys, those of least hash. They decide how
-    even the slices are, never a result. They are a subquery of the plan, so
-    nothing runs while it is built. Null keys are in the first slice.
+    Without ``slices`` there is one for each SALT_ROWS rows, eight at least and
+    MOST_SLICES at most. The split points come from a few keys, those of least
+    hash. They decide how even the slices are, never a result. Both are
+    subqueries of the plan, so nothing runs while it is built. Null keys are
+    in the first slice.
     """
+    number = F.lit(slices) if slices else F.least(F.lit(MOST_SLICES), F.greatest(
+        F.lit(8), F.ceil(df.agg(F.count(F.lit(1))).scalar() / SALT_ROWS)))
     probe = (df.select(key).where(F.col(key).isNotNull())
-             .orderBy(F.xxhash64(key)).limit(slices * 50)
+             .orderBy(F.xxhash64(key)).limit(MOST_SLICES * 10)
              .agg(F.sort_array(F.collect_list(key)).alias("k"))
+             .withColumn("n", number.cast("int"))
              .select(F.transform(
-                 F.sequence(F.lit(1), F.lit(slices - 1)),
-                 lambda i: F.get("k", (i * F.size("k") / slices)
+                 F.sequence(F.lit(1), F.col("n") - 1),
+                 lambda i: F.get("k", (i * F.size("k") / F.col("n"))
                                  .cast("int"))).alias("points"))).scalar()
+    # a generator of one row, so that the optimiser does not put the expression
+    # in place of its result where the key is no longer there
     return (df.withColumn("_points", probe)
-            .withColumn("_slice", F.size(F.filter(
-                "_points", lambda p: p <= F.col(key)))).drop("_points"))
+            .select(*df.columns, F.explode(F.array(F.size(F.filter(
+                "_points", lambda p: p <= F.col(key))))).alias("_slice")))
 
 
 def dense_index(df: DataFrame, key: str, name: str = "row_index",
-                slices: int = 64) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """Number the rows 0..n-1 in the order of a unique key, distributed.
 
     A window over the whole table would run in one task. Here split points
     cut the key range into slices, each slice is numbered on its own, and the
-    running total of the slice sizes is added. ``slices`` should rise with the
-    rows: one for each million or so.
+    running total of the slice sizes is added. See :func:`with_slice`.
     """
     cut = with_slice(df, key, slices)
     sizes = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # at most slices + 1 rows are left here, so one task is enough
+    # a row for each slice is left here, so one task is enough
     before = Window.orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = sizes.select("_slice", F.coalesce(F.sum("_n").over(before),

@@ -28,7 +28,7 @@ def lengths(corpus: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, shares: Iterable[float],
-              slices: int = 64) -> DataFrame:
+              slices: int | None = None) -> DataFrame:
     """One row, one array column: exact quantiles, between neighbours by
     their distance; null without values.
 
@@ -47,12 +47,11 @@ def quantiles(df: DataFrame, column: str, shares: Iterable[float],
         Window.unboundedPreceding, -1)
     starts = (sliced.groupBy("_slice").agg(F.sum("n").alias("_n"))
               .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                      .alias("_start"), F.sum("_n").over(
-                          Window.partitionBy(F.lit(0))).alias("total")))
+                      .alias("_start")))
     inside = Window.partitionBy("_slice").orderBy("value")
     placed = sliced.join(F.broadcast(starts), "_slice").select(
-        "value", "n", "total", (F.col("_start") + F.sum("n").over(inside))
-        .alias("upto"))
+        "value", "n", (F.col("_start") + F.sum("n").over(inside))
+        .alias("upto")).withColumn("total", counts.agg(F.sum("n")).scalar())
 
     def at(rank: Column) -> Column:
         here = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
