@@ -13,10 +13,10 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ranked, slim, table, widened
+from corpusloom.llm.shared import cut, ranked, slim, table, widened
 
 BLOCK_DOCS = 4
 CYCLE = 1_000         # slots in a cycle, the resolution of the weights
@@ -79,8 +79,8 @@ def mix(docs: DataFrame, power: float = 0.9,
     had its place once; sources with too few documents for their weight begin
     again (epoch 1, 2, ...). So no row is dropped, and rows of small sources
     repeat. Every block is full, so positions have no gap. Within a source the
-    order is that of the key, slice by slice of a key hash. A null source is a source of its own; rows that repeat a key
-    are placed like any others; an empty table gives an empty mix. Columns of
+    order is that of the key, slice by slice of a key hash. A null source is a
+    source of its own; rows that repeat a key are placed like any others; an empty table gives an empty mix. Columns of
     ``docs`` that already have one of the new names are replaced.
     """
     docs = docs.drop("position", "epoch", "slot")
@@ -97,12 +97,18 @@ def mix(docs: DataFrame, power: float = 0.9,
         sizes, "_name string, _n long, _share long, _blocks long")
     schedule = spark.createDataFrame(
         schedule, "_slot_of string, _j long, _at long")
-    tied = rows.withColumn("_tie", F.xxhash64("*"))
+    # the schedule is made of keys; whole rows, equal ones told apart by number,
+    # move once to their places
+    tied = rows.withColumn("_tie", F.xxhash64("*")).withColumn(
+        "_more", F.xxhash64(F.lit(1), *rows.columns))
+    light = cut(tied.select("key", "source", "_tie", "_more"))
+    equal = Window.partitionBy("_tie", "_more")
     # a source's blocks have _blocks * block places, which its documents fill
     # again and again; two steps keep each array short
     last = F.expr(f"(_blocks * {block} - 1 - _rank) div _n")
     placed = (
-        ranked(tied, "source", ["key", "_tie"], name="_rank")
+        ranked(light, "source", ["key", "_tie", "_more"], name="_rank")
+        .withColumn("_copy", F.row_number().over(equal.orderBy("_rank")))
         .join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_last", last)
         .withColumn("_lot", F.explode(F.expr(
@@ -117,7 +123,14 @@ def mix(docs: DataFrame, power: float = 0.9,
               & (F.expr("_block % _share") == F.col("_j")))
         .withColumn("slot", F.expr(f"_block div _share * {cycle} + _at"))
         .withColumn("position", F.expr(
-            f"slot * {block} + _place % {block}")))
+            f"slot * {block} + _place % {block}"))
+        .select(F.col("_tie").alias("_t"), F.col("_more").alias("_m"),
+                F.col("_copy").alias("_c"), "position", "epoch", "slot"))
+    whole = tied.withColumn("_copy", F.row_number().over(equal.orderBy(
+        F.lit(1))))
+    # a difference is no join key, so both sides stay where the window put them
+    placed = whole.join(placed, F.expr(
+        "_tie = _t and _more = _m and _copy - _c = 0"))
     return widened(placed, docs.columns, named, "position", "epoch", "slot")
 
 
