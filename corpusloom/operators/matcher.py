@@ -115,9 +115,10 @@ def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
     """``(query_id, rank, doc_id, category, score)``.
 
     With an ``index`` pairs are made in the blocks that can hold a result only;
-    without one, for all documents that share a term. ``docs`` is ``(doc_id, category)`` of the whole index. Score falling, later
-    documents first on ties. Documents outside the filtered category, or
-    without one, are not removed: they follow at -1.
+    without one, for all documents that share a term. ``docs`` is ``(doc_id,
+    category)`` of the whole index. Score falling, later documents first on
+    ties. Documents outside the filtered category, or without one, are not
+    removed: they follow at -1.
     """
     if n <= 0:
         raise ValueError("top_n must be positive")

@@ -48,6 +48,19 @@ def test_fit_reads_text_once(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize(("name", "scans"), [
+    ("q_classify", 1), ("q_bow", 1), ("q_features", 1), ("q_classify_raw", 2)])
+def test_each_table_is_read_once(spark, name, scans):
+    assert executed(catalog.REGISTRY[name](spark, SF)).count(
+        "FileScan") == scans
+
+
+def test_dense_vectors_are_scored_within_the_row(spark):
+    plan = executed(catalog.REGISTRY["q_dense_centroid"](spark, SF))
+    scored = plan.split("Subquery")[0]
+    assert "posexplode" not in scored and "NestedLoop" not in plan
+
+
 def test_match_has_no_cross_join(spark):
     plan = executed(catalog.REGISTRY["q_match_filtered"](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
