@@ -199,6 +199,29 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).collect() == []
 
 
+def test_texts_without_their_repeated_passages(spark):
+    passage = " ".join(words(300, 41))
+    own = {i: " ".join(words(80, 50 + i)) for i in range(6)}
+    rows = [(2, f"{own[0]}\n{passage}  {own[1]}"), (2, f"{passage} {own[2]}"),
+            (None, f"{own[3]} {passage}"), (7, None), (8, ""), (9, own[4]),
+            (9, own[5])]
+    docs = documents(spark, [(k, t, "en", "s") for k, t in rows])
+    done = substring_dedup.without_passages(docs)
+    assert done.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in done.collect()]
+    assert all(r[4:] == (5, "k", 7, "s", 9, 3) for r in done.collect())
+    for row in [rows[2], rows[3], rows[4], rows[5], rows[6]]:
+        assert row in got  # the first row keeps the passage
+    for whole, cut in ((rows[0][1], next(t for k, t in got if t and t.startswith(
+            own[0]))), (rows[1][1], next(t for k, t in got if t and t.endswith(
+                own[2])))):
+        assert len(cut.split()) < len(whole.split()) - 240
+        assert set(own[0].split() if whole == rows[0][1] else own[2].split()
+                   ) <= set(cut.split())
+    first = next(t for _, t in got if t and t.startswith(own[0]))
+    assert first.startswith(f"{own[0]}\n") and first.endswith(own[1])
+
+
 def test_every_passage_has_an_anchor_inside():
     for seed in range(200):
         passage = words(51, seed)
