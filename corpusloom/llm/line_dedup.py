@@ -4,9 +4,16 @@ Lines are normalised and hashed; equal ones are one class. Each class gets a
 64-bit SimHash of its distinct words; if each occurrence counted, the few very
 common words of a language would make all of its long lines alike. Two lines
 whose SimHashes differ in at most DISTANCE bits agree in two of DISTANCE + 2
-blocks (pigeonhole), so classes meet on pairs of blocks. Classes that meet are
-verified by the edit similarity of their texts; of each connected group one
-occurrence stays.
+blocks (pigeonhole), so classes meet on pairs of blocks.
+
+One changed word turns many bits of a short line's SimHash. Lines of SHORT to
+LONG words are therefore also cut into two or three parts by words: if fewer
+words are changed than there are parts, one part is left as it was, and classes
+meet on equal parts (pigeonhole again). There SimHashes only have to be within
+FAR bits.
+
+Classes that meet are verified by the edit similarity of their texts; of each
+connected group one occurrence stays.
 """
 
 from __future__ import annotations
@@ -16,15 +23,22 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import components, cut, free_name, may_be_in, table
+from corpusloom.llm.shared import (components, counted, cut, free_name,
+                                   may_be_in, table)
 
 DISTANCE = 3
 SIMILARITY = 0.9
+SHORT, LONG = 6, 400  # words of the lines that meet on equal parts too
+THIRDS = 12           # words from which on a line has three parts, not two
+FAR = 20              # bits; lines that share but half their words are farther
 FILTER_WORDS = 1 << 19
 _LONG = 32_768  # words; counters of 16 bits hold less
 _BOUNDS = [64 * i // (DISTANCE + 2) for i in range(DISTANCE + 3)]
 
 
+PAIRS = (DISTANCE + 2) * (DISTANCE + 1) // 2  # of blocks
+
+
 def _block_masks() -> list[int]:
     """Bits of each pair of blocks, as signed numbers."""
     sums = [sum((1 << _BOUNDS[i + 1]) - (1 << _BOUNDS[i]) for i in pair)
@@ -67,6 +81,23 @@ def _long_simhash(words: str) -> Column:
     return F.expr(f"transform(array(array({sums})), s -> {bits})[0]")
 
 
+def _parts(words: str) -> Column:
+    """Hashes of the parts of a line by words, none of very short ones."""
+    n, third, half = (f"size({words}){x}" for x in ("", " div 3", " div 2"))
+
+    def part(i: int, start: str, many: str) -> str:
+        return (f"xxhash64({i}, slice({words}, cast({start} as int), "
+                f"cast({many} as int)))")
+
+    three = [part(1, "1", third), part(2, f"{n} - {third} + 1", third),
+             part(3, f"{third} + 1", f"{n} - 2 * ({third})")]
+    two = [part(4, "1", half), part(5, f"{n} - {half} + 1", half)]
+    return F.expr(
+        f"case when {n} between {THIRDS} and {LONG} then "
+        f"array({', '.join(three)}) when {n} between {SHORT} and {THIRDS - 1} "
+        f"then array({', '.join(two)}) else cast(array() as array<bigint>) end")
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines that are not blank: row, key, line_no (from 0), norm, hash."""
     return (docs.select(
@@ -78,13 +109,14 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _with_simhash(lines: DataFrame) -> DataFrame:
-    """Row per line: key, line_no, hash, len, sim."""
-    split = lines.withColumn("words", F.array_distinct(
-        F.split("norm", " ")))
+    """Row per line: key, line_no, hash, len, sim, parts."""
+    split = (lines.withColumn("all", F.split("norm", " "))
+             .withColumn("words", F.array_distinct("all"))
+             .withColumn("parts", _parts("all")).drop("all"))
     far = F.when(F.size("words") >= _LONG, _long_simhash("words"))
     near = F.when(F.size("words") < _LONG, F.col("words")).otherwise(
         F.array(F.lit("")))
-    ids = ["row", "key", "line_no", "hash", "len", "far"]
+    ids = ["row", "key", "line_no", "hash", "len", "far", "parts"]
     sums = [F.sum(F.expr(c)).alias(f"s{g}")
             for g, c in enumerate(_counts("x", 4))]
     summed = (split.withColumn("far", far)
@@ -92,16 +124,18 @@ def _with_simhash(lines: DataFrame) -> DataFrame:
               .select(*ids, F.explode(near).alias("word"))
               .select(*ids, F.xxhash64("word").alias("x"))
               .groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), *sums))
-    return summed.select("key", "line_no", "hash", "len", F.coalesce("far", F.expr(
-        _majority([f"s{g}" for g in range(16)], "n", 4))).alias("sim"))
+    return summed.select(
+        "key", "line_no", "hash", "len", "parts", F.coalesce("far", F.expr(
+            _majority([f"s{g}" for g in range(16)], "n", 4))).alias("sim"))
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
-    """Row per class and pair of blocks: sign, place, hash, sim, len."""
+    """Row per class and pair of blocks: sign, place, hash, sim, len. The parts
+    of a line have the places from PAIRS on."""
     signs = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m)))
                       for i, m in enumerate(_block_masks())])
-    return classes.select("hash", "sim", "len",
-                          F.posexplode(signs).alias("place", "sign"))
+    return classes.select("hash", "sim", "len", F.posexplode(
+        F.concat(signs, "parts")).alias("place", "sign"))
 
 
 def _most_edits(one: str, two: str, similarity: float) -> str:
@@ -132,7 +166,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Lines end at a line feed. A group has lines that are equal after
     normalisation, or whose SimHashes differ in at most DISTANCE bits and whose
     edit distance is at most 1 - similarity of the longer length; and all that
-    are connected by such links. The occurrence with the smallest (key,
+    are connected by such links. So has a line with an equal part and that edit
+    distance; in a part that many lines share, each is compared with one of
+    them only. The occurrence with the smallest (key,
     line_no) stays. Lines without a partner, blank lines and null or empty
     texts give no row. A row with a null key takes part and comes first; rows
     that repeat a key and have the line at the same place are not told apart,
@@ -143,28 +179,33 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = cut(_with_simhash(lines_of(docs, key, text)))
     classes = cut(rows.groupBy("hash").agg(
         F.min("sim").alias("sim"), F.min("len").alias("len"),
+        F.min("parts").alias("parts"),
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("key", "line_no")).alias("first")))
     signs = _blocks(classes)
     shared = cut(signs.groupBy("sign").agg(
         F.count(F.lit(1)).alias("size"), F.min("hash").alias("a"),
-        F.max("hash").alias("b")).where("a < b"))
-    hubs = shared.where("size > 2").select("sign", "a")
+        F.max("hash").alias("b"),
+        (F.min("place") >= PAIRS).alias("part")).where("a < b"))
+    hubs = shared.where("size > 2").select("sign", "a", "part")
     members = cut(may_be_in(signs, "sign", hubs, FILTER_WORDS)
                   .join(hubs, "sign"))
     sims = classes.select("hash", "sim", "len")
-    stars = cut(shared.where("size = 2").select("a", "b").union(
-        members.where("hash <> a").select("a", "hash")).distinct()
+    stars = cut(shared.where("size = 2").select("a", "b", "part").union(
+        members.where("hash <> a").select("a", "hash", "part"))
+        .groupBy("a", "b").agg(F.max("part").alias("part"))
         .join(sims.toDF("a", "xa", "la"), "a")
         .join(sims.toDF("b", "xb", "lb"), "b")
-        .where(f"bit_count(xa ^ xb) <= {DISTANCE} and abs(la - lb) <= "
-               + _most_edits("la", "lb", similarity)).select("a", "b"))
+        .where(f"bit_count(xa ^ xb) <= if(part, {FAR}, {DISTANCE}) and "
+               "abs(la - lb) <= " + _most_edits("la", "lb", similarity))
+        .select("a", "b"))
     links = _verified(stars, docs, key, text, similarity)
     label = components(links)
-    more = _verified(_open_pairs(members, label, stars, similarity), docs, key,
-                     text, similarity)
-    if not more.isEmpty():
-        label = components(links.union(more))
+    open_, n_open = counted(_open_pairs(members.where(~F.col("part")), label,
+                                        stars, similarity))
+    if n_open:
+        label = components(links.union(_verified(open_, docs, key, text,
+                                                 similarity)))
     named = (classes.join(label, F.col("hash") == F.col("node"), "left")
              .withColumn("component", F.coalesce("component", "hash")))
     groups = named.groupBy("component").agg(
@@ -201,7 +242,7 @@ def _open_pairs(members: DataFrame, label: DataFrame, stars: DataFrame,
         f"and abs(x.len - y.len) <= {_most_edits('x.len', 'y.len', similarity)} "
         f"and x.place = case {first} end")).select(
         F.col("x.hash").alias("a"), F.col("y.hash").alias("b"))
-    return cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    return pairs.join(stars, ["a", "b"], "left_anti")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text"
