@@ -34,10 +34,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     with the same ids; what it can't split (blanks by the hundred thousand), and
     all other files, are run by tokenizers.
     """
-    whole = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)  # most workers never need it
+    def whole() -> Tokenizer:
+        return Tokenizer.from_file(path)
 
     def slow(text: str) -> np.ndarray:
-        return np.array(whole.encode(text, add_special_tokens=False).ids,
+        return np.array(whole().encode(text, add_special_tokens=False).ids,
                         np.uint32)
 
     with open(path, encoding="utf-8") as file:
