@@ -61,13 +61,15 @@ class BagOfNgrams:
 
     ``rows`` is ``(doc_id, category, term_idx, tf)`` with one row more for each
     document, of ``term_idx`` -1: ``matrix`` is all but these, ``docs`` is
-    these, also of documents without a known term.
+    these, also of documents without a known term. ``prepared`` are the rows
+    of the fit.
     """
 
     rows: DataFrame
     vocabulary: DataFrame
     ngram_range: tuple[int, int]
     max_features: int | None
+    prepared: DataFrame
 
     @property
     def matrix(self) -> DataFrame:
@@ -85,8 +87,8 @@ class BagOfNgrams:
         """``docs``: ``(doc_id, category, tokens)``, best from ``prepare``.
 
         Counts, number of documents and matrix read one scan: the mark row of
-        each document is counted along, and only known n-grams are counted per
-        document. If pruning leaves no term, whatever reads the matrix raises;
+        each document is counted along, and n-grams are counted within the row
+        of their document. If pruning leaves no term, whatever reads the matrix raises;
         :meth:`check` runs the fit up to there and raises at once.
         """
         require_columns(docs, "doc_id", "category", "tokens")
@@ -104,12 +106,11 @@ class BagOfNgrams:
             docs.sparkSession.range(1).select(
                 F.lit(ngrams.DOC_MARK).alias("term"), place.alias("term_idx"),
                 F.lit(0).cast("long").alias("df")))
-        grams = ngrams.explode_ngrams(docs, ngram_range=ngram_range,
-                                      mark_docs=True)
-        rows = (ngrams.matrix(grams, marked, with_mark(max_features))
-                .groupBy("doc_id", "category", "term_idx")
-                .agg(F.count(F.lit(1)).alias("tf")))
-        return cls(rows, vocabulary, ngram_range, max_features)
+        found = ngrams.term_counts(docs, ngram_range=ngram_range,
+                                   mark_docs=True)
+        rows = ngrams.matrix(found, marked, with_mark(max_features)).select(
+            "doc_id", "category", "term_idx", "tf")
+        return cls(rows, vocabulary, ngram_range, max_features, docs)
 
     def check(self) -> BagOfNgrams:
         """Raise if pruning has left no term at all."""
@@ -131,15 +132,17 @@ class BagOfNgrams:
         return self.vocabulary.select("term_idx", "term")
 
     def label_index(self) -> DataFrame:
-        return label_encode(self.docs)
+        return label_encode(ngrams.doc_rows(self.prepared))
 
     def features(self) -> DataFrame:
         """One row per document: counts as a map, and the label number."""
         terms = F.map_from_entries(F.sort_array(F.collect_list(F.when(
             F.col("term_idx") > DOC_IDX, F.struct("term_idx", "tf")))))
         nested = self.rows.groupBy("doc_id", "category").agg(terms.alias("x"))
+        # reads the label column alone, not what the fit makes of the texts
+        few = BROADCAST_ROWS if has_at_most(self.prepared.select(
+            "category").distinct(), 10_000) else None
         index = self.label_index()
-        few = BROADCAST_ROWS if has_at_most(index, 10_000) else None
         return (nested.withColumnRenamed("category", "label")
                 .join(bounded(index, few), "label")
                 .select("doc_id", "x", F.col("label_idx").alias("y")))

@@ -65,11 +65,46 @@ def doc_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "category"),
 
 def term_counts(df: DataFrame, *, keep: tuple[str, ...] = ("doc_id",
                                                           "category"),
-                **options) -> DataFrame:
+                tokens: str = "tokens",
+                ngram_range: tuple[int, int] = (1, 2),
+                mark_docs: bool = False) -> DataFrame:
     """``(keep..., term, tf)``. Local to each task if ``df`` is partitioned
-    by the document key, which is what ``prepare`` returns."""
-    return (explode_ngrams(df, keep=keep, **options)
-            .groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf")))
+    by the document key, which is what ``prepare`` returns.
+
+    Rows that are alike in ``keep`` are one document. Its n-grams are sorted
+    and counted within its row, so no table of documents and terms is held by
+    an aggregate, which would spill.
+    """
+    low, high = check_range(ngram_range)
+
+    def grams(t: Column) -> Column:
+        size = F.size(t)
+
+        def longer(n: int) -> Column:
+            heads = F.slice(t, F.lit(1), F.greatest(size - (n - 1), F.lit(0)))
+            return F.transform(heads, lambda head, i: F.concat_ws(
+                " ", head, *[F.get(t, i + k) for k in range(1, n)]))
+
+        parts = [t if n == 1 else longer(n) for n in range(low, high + 1)]
+        if mark_docs:
+            parts.append(F.array(F.lit(DOC_MARK)))
+        return F.concat(*parts)
+
+    # a generator of one row, so that each array is made once
+    merged = df.groupBy(*keep).agg(F.collect_list(tokens).alias("_lists"))
+    listed = merged.select(*keep, F.explode(F.array(F.sort_array(F.flatten(
+        F.transform("_lists", grams))))).alias("_t"))
+    starts = F.filter(
+        F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1)),
+        lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    return (listed.select(*keep, "_t", F.explode(F.array(starts))
+                          .alias("_starts"))
+            .select(*keep, "_t", "_starts", F.posexplode("_starts")
+                    .alias("_n", "_from"))
+            .select(*keep, F.get("_t", F.col("_from")).alias("term"),
+                    (F.coalesce(F.get("_starts", F.col("_n") + 1),
+                                F.size("_t")) - F.col("_from"))
+                    .cast("long").alias("tf")))
 
 
 def corpus_counts(counts: DataFrame) -> DataFrame:

@@ -82,17 +82,16 @@ def transform(prepared: DataFrame, vocabulary: DataFrame, *,
               key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, keep..., term_idx, tf, weight)`` for prepared texts.
 
-    Unknown terms drop out before anything is counted. Every text has one row
-    with ``term_idx`` -1 and weight 0, also if it has no known term.
+    Terms are counted within the row of their text, then unknown ones drop
+    out. Every text has one row with ``term_idx`` -1 and weight 0, also if it
+    has no known term.
     """
     index = vocabulary.select("term", "term_idx", "idf")
-    grams = ngrams.explode_ngrams(prepared, ngram_range=ngram_range,
-                                  keep=(key, *keep), mark_docs=True)
-    counts = (join_small(grams, index, "term", with_mark(max_features),
-                         sizes=vocabulary.select("term", "df"))
-              .groupBy(key, *keep, "term_idx")
-              .agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf")))
-    return weigh(counts, key)
+    found = ngrams.term_counts(prepared, ngram_range=ngram_range,
+                               keep=(key, *keep), mark_docs=True)
+    counts = join_small(found, index, "term", with_mark(max_features),
+                        sizes=vocabulary.select("term", "df"))
+    return weigh(counts.select(key, *keep, "term_idx", "tf", "idf"), key)
 
 
 def terms_only(weights: DataFrame) -> DataFrame:

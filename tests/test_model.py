@@ -419,3 +419,18 @@ def test_prompt_may_hold_the_whole_text(spark):
     cut, whole = df.select(compose.prompt(F.col("text")), compose.prompt(
         F.col("text"), max_chars=None)).first()
     assert len(whole) - len(cut) == 2000
+
+
+def test_terms_are_counted_within_the_row(spark):
+    """Rows of one document count together; nothing is grouped by term."""
+    docs = spark.createDataFrame(
+        [(1, "a", ["bb", "cc", "bb", "cc"]), (1, "a", ["bb"]), (2, None, []),
+         (None, "b", ["cc"])], "doc_id long, category string, "
+                               "tokens array<string>").repartition("doc_id")
+    counts = ngrams.term_counts(docs, mark_docs=True)
+    assert set(map(tuple, counts.collect())) == {
+        (1, "a", "", 2), (1, "a", "bb", 3), (1, "a", "cc", 2),
+        (1, "a", "bb cc", 2), (1, "a", "cc bb", 1), (2, None, "", 1),
+        (None, "b", "", 1), (None, "b", "cc", 1)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" not in plan
