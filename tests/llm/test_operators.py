@@ -685,3 +685,35 @@ def test_clean_sources_name_no_local_folder():
     for path in root.glob("*.py"):
         text = path.read_text()
         assert not re.search(r"localCheckpoint|crossJoin", text), path
+
+
+@pytest.mark.parametrize("few", [substring_dedup.FEW, 1])
+def test_no_linked_paragraphs_are_left_out(spark, monkeypatch, few):
+    """Groups against all pairs of paragraphs: by pairs, and by subsets."""
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    rng, base = random.Random(4), words(60, 9)
+    texts = []
+    for kind in (base, (base[:7] * 9)[:60]):
+        for _ in range(30):
+            text = list(kind)
+            for at in rng.sample(range(60), rng.choice([2, 4])):
+                text[at] = words(1, rng.randrange(10**9))[0]
+            texts.append(" ".join(text))
+    units = [(i, int(at), set(row.tolist())) for i, t in enumerate(texts)
+             for at, row in zip(*substring_dedup.paragraphs(t), strict=True)]
+    group = list(range(len(units)))
+    for x, (_, _, a) in enumerate(units):
+        for y, (_, _, b) in enumerate(units[:x]):
+            if 100 * len(a & b) >= 80 * len(a | b) and group[x] != group[y]:
+                old = group[x]
+                group = [group[y] if g == old else g for g in group]
+    keys = defaultdict(set)
+    for (i, _, _), g in zip(units, group, strict=True):
+        keys[g].add(i)
+    want = {(i, at + k) for (i, at, _), g in zip(units, group, strict=True)
+            for k in range(24) if len(keys[g]) > 1}
+    docs = spark.createDataFrame(list(enumerate(texts)),
+                                 "doc_id long, text string")
+    got = {(r.doc_id, k) for r in substring_dedup.repeated_passages(
+        docs).collect() for k in range(r.start, r.end)}
+    assert got == want and len({i for i, _ in want}) > 20
