@@ -1,9 +1,11 @@
-"""Phrases of a dictionary table contained in texts, by rare 3-grams.
-
-A text that contains a phrase contains all of its 3-grams, so it is enough to
-join texts and phrases on one 3-gram of each phrase, the one that the fewest
-texts have, and to look for the phrase itself in what meets. Phrases below
-three characters have no 3-gram; they come as one array to every row.
+"""Phrases of a dictionary table contained in texts, by rare n-grams.
+
+A text that contains a phrase contains all of its n-grams, so it is enough to
+join texts and phrases on one n-gram of each phrase, the one that the fewest
+texts have, and to look for the phrase itself in what meets. Phrases from six
+characters on meet on 6-grams, which few other texts have; shorter ones on
+3-grams. Phrases below three characters have none; they come as one array to
+every row.
 """
 
 from __future__ import annotations
@@ -14,15 +16,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import filled
 from corpusloom.operators.common import require_columns
 
-GRAM = 3
-# every place of a text begins a match of no length that captures a 3-gram
-_GRAMS = rf"(?s)(?=(.{{{GRAM}}}))"
+GRAM, LONG_GRAM = 3, 6
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(_GRAMS),
-                                                 F.lit(1)))
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Runs of n characters, repeated ones too."""
+    # every place of a text begins a match of no length that captures a run
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _phrases(dim: DataFrame) -> DataFrame:
@@ -32,17 +32,26 @@ def _phrases(dim: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """``(key, place, phrase)`` of texts that have a phrase's rarest 3-gram.
+    """``(key, place, phrase)`` of texts that have a phrase's rarest n-gram.
 
-    ``texts`` is ``(key, low)``. A 3-gram is rare if few texts have it; a
-    phrase with a 3-gram that no text has is in no text. Only 3-grams of the
+    ``texts`` is ``(key, low)``. An n-gram is rare if it is seldom in the
+    texts; a phrase with an n-gram that no text has is in no text. Only n-grams of the
     dictionary are counted.
     """
-    long = _phrases(dim).where(F.char_length("phrase") >= GRAM)
-    of_phrase = long.select("phrase", "place", F.explode(grams(F.col(
-        "phrase"))).alias("gram"))
+    # rows that repeat a key are texts of their own
+    texts = texts.withColumn("_row", F.monotonically_increasing_id())
+    size, phrases = F.char_length("phrase"), _phrases(dim)
+    return _met(texts, phrases.where((size >= GRAM) & (size < LONG_GRAM)), key,
+                GRAM).unionByName(_met(texts, phrases.where(
+                    size >= LONG_GRAM), key, LONG_GRAM))
+
+
+def _met(texts: DataFrame, phrases: DataFrame, key: str, n: int) -> DataFrame:
+    of_phrase = phrases.select("phrase", "place", F.explode(grams(F.col(
+        "phrase"), n)).alias("gram")).distinct()
     known = of_phrase.select("gram").distinct()
-    in_text = (texts.select(key, F.explode(grams(F.col("low"))).alias("gram"))
+    in_text = (texts.select(key, "_row", F.explode(grams(F.col("low"), n))
+                            .alias("gram"))
                .join(known, "gram", "left_semi"))
     rarity = in_text.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (of_phrase.join(rarity, "gram", "left")
@@ -51,7 +60,8 @@ def candidates(texts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
                                   "gram")).alias("best"))
               .where("best.n > 0")
               .select("phrase", "place", F.col("best.gram").alias("gram")))
-    return in_text.join(rarest, "gram").select(key, "place", "phrase")
+    return (in_text.join(rarest, "gram").select(key, "_row", "place", "phrase")
+            .distinct().drop("_row"))
 
 
 def find_phrases(df: DataFrame, dim: DataFrame, key: str = "doc_id",
@@ -65,6 +75,8 @@ def find_phrases(df: DataFrame, dim: DataFrame, key: str = "doc_id",
     """
     require_columns(df, key, text)
     require_columns(dim, "domain", "phrase", "place")
+    # by key once: the steps below read that, on as many cores as there are
+    df = df.repartition(key)
     texts = df.select(key, F.lower(filled(F.col(text))).alias("low"))
     met = candidates(texts, dim, key).groupBy(key).agg(
         F.collect_list(F.struct("place", "phrase")).alias("met"))

@@ -259,3 +259,14 @@ def test_source_partitions(spark, tmp_path):
     rows = source.read_csv(spark, str(tmp_path / "c.csv"),
                            ["Category", "Resume"], partitions=3)
     assert rows.rdd.getNumPartitions() == 3 and rows.count() == 2
+
+
+def test_long_phrases_meet_few_texts_that_lack_them(spark):
+    """All 3-grams of a phrase in a text are not enough to meet."""
+    dim = spark.createDataFrame([("d", "abcdef", 0), ("d", "xyz", 1)],
+                                "domain string, phrase string, place long")
+    texts = spark.createDataFrame([(1, "abc bcd cde def"), (2, "-abcdef-xyz")],
+                                  "doc_id long, low string")
+    met = dictionary.candidates(texts, dim, "doc_id").collect()
+    assert sorted((r.doc_id, r.phrase) for r in met) == [
+        (2, "abcdef"), (2, "xyz")]
