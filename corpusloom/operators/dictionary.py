@@ -19,10 +19,21 @@ from corpusloom.operators.common import require_columns
 GRAM, LONG_GRAM = 3, 6
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Runs of n characters, repeated ones too."""
-    # every place of a text begins a match of no length that captures a run
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def with_grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``(keep..., gram)``: a row per run of GRAM and of LONG_GRAM characters,
+    repeated ones too. Array reads inside generated code, no pattern."""
+    size = F.size("_c")
+    places = (df.select(*keep, F.split(text, "").alias("_c"))
+              .select(*keep, "_c", F.explode(F.when(size >= GRAM, F.sequence(
+                  F.lit(0), size - GRAM))).alias("_i")))
+
+    def gram(n: int) -> Column:
+        return F.when(F.col("_i") + n <= size, F.concat(*[
+            F.get("_c", F.col("_i") + k) for k in range(n)]))
+
+    return (places.select(*keep, F.explode(F.array(
+        gram(GRAM), gram(LONG_GRAM))).alias("gram"))
+        .where(F.col("gram").isNotNull()))
 
 
 def _phrases(dim: DataFrame) -> DataFrame:
@@ -35,23 +46,18 @@ def candidates(texts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """``(key, place, phrase)`` of texts that have a phrase's rarest n-gram.
 
     ``texts`` is ``(key, low)``. An n-gram is rare if it is seldom in the
-    texts; a phrase with an n-gram that no text has is in no text. Only n-grams of the
-    dictionary are counted.
+    texts; a phrase with an n-gram that no text has is in no text. Only n-grams
+    of the dictionary are counted.
     """
     # rows that repeat a key are texts of their own
     texts = texts.withColumn("_row", F.monotonically_increasing_id())
-    size, phrases = F.char_length("phrase"), _phrases(dim)
-    return _met(texts, phrases.where((size >= GRAM) & (size < LONG_GRAM)), key,
-                GRAM).unionByName(_met(texts, phrases.where(
-                    size >= LONG_GRAM), key, LONG_GRAM))
-
-
-def _met(texts: DataFrame, phrases: DataFrame, key: str, n: int) -> DataFrame:
-    of_phrase = phrases.select("phrase", "place", F.explode(grams(F.col(
-        "phrase"), n)).alias("gram")).distinct()
+    phrases = _phrases(dim).where(F.char_length("phrase") >= GRAM)
+    size = F.when(F.char_length("phrase") >= LONG_GRAM, LONG_GRAM).otherwise(
+        GRAM)
+    of_phrase = (with_grams(phrases, "phrase", "phrase", "place")
+                 .where(F.char_length("gram") == size).distinct())
     known = of_phrase.select("gram").distinct()
-    in_text = (texts.select(key, "_row", F.explode(grams(F.col("low"), n))
-                            .alias("gram"))
+    in_text = (with_grams(texts, "low", key, "_row")
                .join(known, "gram", "left_semi"))
     rarity = in_text.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (of_phrase.join(rarity, "gram", "left")

@@ -270,3 +270,14 @@ def test_long_phrases_meet_few_texts_that_lack_them(spark):
     met = dictionary.candidates(texts, dim, "doc_id").collect()
     assert sorted((r.doc_id, r.phrase) for r in met) == [
         (2, "abcdef"), (2, "xyz")]
+
+
+def test_grams_are_made_without_patterns(spark):
+    texts = spark.createDataFrame([(1, "aé\U0001F600aé\U0001F600b"), (2, "ab"),
+                                   (3, "")], "doc_id long, low string")
+    rows = dictionary.with_grams(texts, "low", "doc_id")
+    text = texts.first().low
+    assert sorted(r.gram for r in rows.collect()) == sorted(
+        text[i:i + n] for n in (3, 6) for i in range(len(text) - n + 1))
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan(
+        ).toString()
