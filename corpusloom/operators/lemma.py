@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
-from corpusloom.operators.common import join_small
+from corpusloom.operators.common import (BROADCAST_ROWS, has_at_most,
+                                         join_small)
 from corpusloom.operators.token_rows import gathered, spread
 
 
@@ -87,15 +88,37 @@ def lemmatize_tokens(df: DataFrame, lexicon: DataFrame,
                      key: str = "doc_id") -> DataFrame:
     """Replace ``tokens`` by their lemmas, keeping order and empty rows.
 
-    The rules run once per distinct token. Only forms that do change are
-    joined back, and the hot ones of these are dealt out over salts by their
-    own number; nothing runs while the plan is built.
+    The rules run once per distinct token. Rows move once, by ``key``, and both
+    the distinct tokens and the token rows read that shuffle. With a small
+    lexicon the forms that change are few and are broadcast, so token rows stay
+    where they are; else the hot ones are dealt out over salts by their own
+    number.
     """
-    rows = spread(df, key).withColumnRenamed("token", "form")
-    counts = (df.select(F.explode("tokens").alias("form")).groupBy("form")
+    # a generator of one row looks at all columns, so that both uses read one
+    # shuffle, whichever columns they need
+    placed = df.repartition(key).select("*", F.explode(F.array(F.xxhash64(
+        *df.columns))).alias("_n")).drop("_n")
+    # an inner explode would put a filter on the tokens below the shuffle, which
+    # is then another one, and makes the tokens twice
+    counts = (placed.select(F.explode_outer("tokens").alias("form"))
+              .where(F.col("form").isNotNull()).groupBy("form")
               .agg(F.count(F.lit(1)).alias("df")))
     changed = (lemma_map(counts.select("form"), lexicon, exceptions)
                .where(F.col("form") != F.col("lemma")))
-    placed = join_small(rows, changed, "form", None, "left", counts)
-    return gathered(placed.select(key, "pos", "rest", F.coalesce(
+    rows = spread(placed, key).withColumnRenamed("token", "form")
+    named = join_small(rows, changed, "form",
+                       _changed_bound(lexicon, exceptions), "left", counts)
+    return gathered(named.select(key, "pos", "rest", F.coalesce(
         "lemma", "form").alias("token")), df.columns, key)
+
+
+def _changed_bound(lexicon: DataFrame, exceptions: DataFrame | None
+                   ) -> int | None:
+    """About the most forms that change, if that is small: a listed one, or a
+    lemma with one of the endings. Forms with several endings are few."""
+    endings = len(fixed.NOUN_ENDINGS) + 1
+    each = BROADCAST_ROWS // (endings + 1)
+    if not has_at_most(lexicon, each) or (
+            exceptions is not None and not has_at_most(exceptions, each)):
+        return None
+    return BROADCAST_ROWS

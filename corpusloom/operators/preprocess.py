@@ -69,9 +69,13 @@ def prepare(corpus: DataFrame, *, text_col: str = "text",
     require_columns(corpus, key, text_col, *keep)
     source = corpus.withColumnRenamed(text_col, "text").select(
         key, *keep, "text")
+    lexicon, exceptions = options.get("lexicon"), options.get("exceptions")
     ready = with_tokens(with_cleaned(source).select(key, *keep, "cleaned"),
-                        key=key, **options).select(
+                        key=key, **{**options, "lexicon": None}).select(
         key, *keep, "tokens", *(["cleaned"] if show else []))
+    if lexicon is not None and options.get("normalize", "lemma") == "lemma":
+        # only now, as the cleaned texts need not move along
+        ready = lemma.lemmatize_tokens(ready, lexicon, exceptions, key)
     # short rows go after the shuffle, so that a fit and the texts of the same
     # corpus to score read the same one
     ready = ready.repartition(key)

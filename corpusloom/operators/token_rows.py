@@ -54,3 +54,16 @@ def drop_listed(df: DataFrame, words: DataFrame, key: str = "doc_id"
     rows = spread(df, key)
     left = rows.join(listed, F.lower("token") == F.col("_word"), "left_anti")
     return gathered(left, df.columns, key)
+
+
+def document_counts(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(form, n)``: each token, and in how many documents it occurs.
+
+    Rows of one ``key`` are one document, those without a key none. Tokens are
+    told apart within the row, so that it is not pairs of tokens and documents
+    that shuffle; rows from ``prepare`` stay where they are.
+    """
+    own = df.select(key, F.array_distinct("tokens").alias("t"))
+    return (own.groupBy(key).agg(F.flatten(F.collect_list("t")).alias("t"))
+            .select(key, F.explode(F.array_distinct("t")).alias("form"))
+            .groupBy("form").agg(F.count(key).alias("n")))

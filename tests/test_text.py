@@ -134,6 +134,24 @@ def test_lemma_in_place(spark):
     assert [r.processed for r in rows.collect()] == ["cat box chase cat", ""]
 
 
+def test_lemmas_read_the_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "cats box"), (1, "box cats"), (None, "dogs"),
+                           (2, "")], "doc_id long, cleaned string"
+                          ).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([("cat",), ("dog",)], "lemma string").write.parquet(
+        f"{tmp_path}/words")
+    rows = preprocess.with_tokens(
+        spark.read.parquet(f"{tmp_path}/docs"),
+        lexicon=spark.read.parquet(f"{tmp_path}/words")).select("processed")
+    # rows of one key are one document
+    assert sorted(r.processed for r in rows.collect()) == [
+        "", "box cat box cat", "dog"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert sum("FileScan" in line and "/docs" in line
+               for line in final.splitlines()) == 1
+
+
 def test_years(spark):
     cases = {"0 years": "0", "": "1", "5+ yrs 12 years": "12",
              "10 Years": "10", "007 yr": "7", "٣ years": "3",
