@@ -114,11 +114,11 @@ def lemmatize_tokens(df: DataFrame, lexicon: DataFrame,
 
 def _changed_bound(lexicon: DataFrame, exceptions: DataFrame | None
                    ) -> int | None:
-    """About the most forms that change, if that is small: a listed one, or a
-    lemma with one of the endings. Forms with several endings are few."""
-    endings = len(fixed.NOUN_ENDINGS) + 1
-    each = BROADCAST_ROWS // (endings + 1)
-    if not has_at_most(lexicon, each) or (
-            exceptions is not None and not has_at_most(exceptions, each)):
+    """About the most forms that change, if that is small: the listed ones, and
+    two for each lemma, as no lemma has the tail of more than two endings. Forms
+    with several endings are few."""
+    if not has_at_most(lexicon, BROADCAST_ROWS // 4) or (
+            exceptions is not None
+            and not has_at_most(exceptions, BROADCAST_ROWS // 2)):
         return None
     return BROADCAST_ROWS

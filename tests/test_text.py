@@ -152,6 +152,12 @@ def test_lemmas_read_the_texts_once(spark, tmp_path):
                for line in final.splitlines()) == 1
 
 
+def test_bound_of_changed_forms(spark):
+    some, many = (spark.range(n).toDF("lemma") for n in (300_000, 600_000))
+    assert lemma._changed_bound(some, many) is not None
+    assert lemma._changed_bound(many, None) is None
+
+
 def test_years(spark):
     cases = {"0 years": "0", "": "1", "5+ yrs 12 years": "12",
              "10 Years": "10", "007 yr": "7", "٣ years": "3",
