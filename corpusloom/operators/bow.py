@@ -86,17 +86,24 @@ class BagOfNgrams:
             max_df: int | float = 0.95) -> BagOfNgrams:
         """``docs``: ``(doc_id, category, tokens)``, best from ``prepare``.
 
-        Counts, number of documents and matrix read one scan: the mark row of
-        each document is counted along, and n-grams are counted within the row
-        of their document. If pruning leaves no term, whatever reads the matrix raises;
+        Counts, number of documents and matrix read one scan, and n-grams are
+        counted within the row of their document. If pruning leaves no term, whatever reads the matrix raises;
         :meth:`check` runs the fit up to there and raises at once.
         """
         require_columns(docs, "doc_id", "category", "tokens")
-        counts = ngrams.corpus_counts(ngrams.term_counts(
-            docs, ngram_range=ngram_range, mark_docs=True))
         mark = F.col("term") == ngrams.DOC_MARK
-        n_docs = counts.where(mark).agg(F.max("df")).scalar()
-        kept = ngrams.prune(counts.where(~mark), n_docs, min_df, max_df)
+        n_docs = ngrams.doc_count(docs)
+
+        def pruned(counts: DataFrame) -> DataFrame:
+            return ngrams.prune(counts.where(~mark), n_docs, min_df, max_df)
+
+        if max_features is None:
+            counts = ngrams.corpus_counts(ngrams.term_counts(
+                docs, ngram_range=ngram_range, mark_docs=True))
+        else:
+            counts = ngrams.frequent_counts(
+                docs, max_features, ngram_range=ngram_range, kept=pruned)
+        kept = pruned(counts)
         vocabulary = ngrams.number_terms(
             ngrams.most_frequent(kept, max_features), max_features)
         terms = vocabulary.agg(F.count(F.lit(1))).scalar()

@@ -38,10 +38,10 @@ def fit_vocabulary(prepared: DataFrame, *,
     """
     keep = ("doc_id", "category") if "category" in prepared.columns else (
         "doc_id",)
-    counts = ngrams.corpus_counts(ngrams.term_counts(
-        prepared, keep=keep, ngram_range=ngram_range, mark_docs=True))
     mark = F.col("term") == ngrams.DOC_MARK
     if max_features is None:
+        counts = ngrams.corpus_counts(ngrams.term_counts(
+            prepared, keep=keep, ngram_range=ngram_range, mark_docs=True))
         marks = counts.where(mark)
         terms = ngrams.number_terms(counts.where(~mark), None)
         return terms.select(
@@ -50,6 +50,8 @@ def fit_vocabulary(prepared: DataFrame, *,
         ).unionByName(marks.select(
             "term", F.lit(DOC_IDX).alias("term_idx"), "cf", "df",
             F.lit(0.0).alias("idf")))
+    counts = ngrams.frequent_counts(prepared, max_features, keep=keep,
+                                    ngram_range=ngram_range)
     top = counts.orderBy(F.desc(mark), F.desc("cf"), F.asc("term")).limit(
         max_features + 1)
     # from here on there are max_features + 1 rows at most

@@ -434,3 +434,36 @@ def test_terms_are_counted_within_the_row(spark):
         (None, "b", "", 1), (None, "b", "cc", 1)}
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "count(1)" not in plan
+
+
+@pytest.mark.parametrize("buckets, n", [(256, 6), (1 << 12, 6), (256, 16)])
+def test_frequent_counts_are_exact_and_leave_rare_terms_out(
+        spark, monkeypatch, buckets, n):
+    rng = random.Random(3)
+    rows = [(i % 55, "x", rng.choices(WORDS, k=8) + [f"rare{i}a", f"rare{i}b"])
+            for i in range(60)]  # some documents are two rows
+    df = spark.createDataFrame(rows, "doc_id long, category string, "
+                                     "tokens array<string>")
+    every = {tuple(r) for r in ngrams.corpus_counts(ngrams.term_counts(
+        df, mark_docs=True)).collect()}
+    monkeypatch.setattr(ngrams, "BUCKETS", buckets)
+    found = {tuple(r) for r in ngrams.frequent_counts(df, n).collect()}
+    kept = {tuple(r) for r in ngrams.frequent_counts(
+        df, n, kept=lambda c: c.where("df < 40")).collect()}
+    order = sorted((t for t in every if t[0]), key=lambda t: (-t[1], t[0]))
+    assert found <= every and set(order[:n]) <= found
+    few = [t for t in order if t[2] < 40]
+    assert kept <= every and set(few[:n]) <= kept
+    assert {t for t in every if not t[0]} <= found & kept
+    assert len(found) < len(every) / 2
+
+
+def test_a_fit_does_not_shuffle_rare_terms(spark):
+    rows = [(i, "x", WORDS + [f"once{i}"]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, category string, "
+                                     "tokens array<string>")
+    for counts in (ngrams.frequent_counts(df, 5), ngrams.frequent_counts(
+            df, 5, kept=lambda c: c.where("df >= 2"))):
+        assert not counts.where("term like 'once%'").count()
+    assert bow.BagOfNgrams.fit(df, max_df=1.0).vocabulary.count() == 19
+    assert spark.range(1).select(ngrams.doc_count(df.union(df))).first()[0] == 30
