@@ -21,6 +21,7 @@ from corpusloom.operators.tfidf import DOC_IDX, terms_only
 
 DOCS_PER_BLOCK = 8
 SCORE_DIGITS = 9
+FEW_ROWS = BROADCAST_ROWS // 4  # of queries whose ids a block may list
 SLACK = 2e-9  # scores are rounded, and sums differ in their last bits
 
 
@@ -54,8 +55,11 @@ class PostingIndex:
 
     def bounds(self, asked: DataFrame, rows: int | None) -> DataFrame:
         """``(query_id, block, bound)``; other blocks share no term."""
-        met = join_small(self.postings.select("block", "category", "term_idx",
-                                              "top"), asked, "term_idx", rows)
+        # the largest weight as the lists have it: all uses of lists that are
+        # not stored then read one shuffle of the weights
+        tops = self.postings.select("block", "category", "term_idx",
+                                    F.array_max("docs.weight").alias("top"))
+        met = join_small(tops, asked, "term_idx", rows)
         if "category_filter" in asked.columns:
             met = met.where(F.col("category_filter").isNull() | (
                 F.col("category") == F.col("category_filter")))
@@ -78,6 +82,26 @@ class PostingIndex:
                 .agg(F.round(F.sum(F.col("qw") * F.col("weight")),
                              SCORE_DIGITS).alias("score")))
 
+    def scores_in_place(self, asked: DataFrame, chosen: DataFrame
+                        ) -> DataFrame:
+        """:meth:`scores` for many chosen blocks and few queries.
+
+        Lists and chosen blocks both lie by block, so neither moves, nor do
+        rows for each block and term of a query; of each document at most the
+        sums leave the task.
+        """
+        wanted = chosen.groupBy("block").agg(
+            F.collect_set("query_id").alias("wanted"))
+        met = (self.postings.drop("top").join(wanted, "block")
+               .join(F.broadcast(asked.select("query_id", "term_idx", "qw")),
+                     "term_idx")
+               .where(F.array_contains("wanted", F.col("query_id"))))
+        return (met.select("block", "query_id", "category", "qw",
+                           F.inline("docs"))
+                .groupBy("block", "query_id", "doc_id", "category")
+                .agg(F.round(F.sum(F.col("qw") * F.col("weight")),
+                             SCORE_DIGITS).alias("score")).drop("block"))
+
     def chosen(self, asked: DataFrame, n: int, rows: int | None
                ) -> tuple[DataFrame, DataFrame]:
         """``(query_id, block)``: first blocks, and the others that are left.
@@ -90,11 +114,13 @@ class PostingIndex:
             "block")], n, "r").select("query_id", "block")
         nth = self.best(self.scores(asked, first, _times(rows, n)), n).where(
             F.col("r") == n).select("query_id", F.col("score").alias("least"))
-        rest = (bounds.join(nth, "query_id", "left").where(
+        # blocks stay where they are while the queries are few
+        rest = (bounds.join(bounded(nth, rows), "query_id", "left").where(
             F.col("least").isNull()
             | (F.col("bound") + SLACK >= F.col("least")))
             .select("query_id", "block")
-            .join(first, ["query_id", "block"], "left_anti"))
+            .join(bounded(first, _times(rows, n)), ["query_id", "block"],
+                  "left_anti"))
         return first, rest
 
     def best(self, scores: DataFrame, n: int) -> DataFrame:
@@ -111,8 +137,10 @@ class PostingIndex:
         """
         asked = terms_only(query_weights).withColumnRenamed("weight", "qw")
         first, rest = self.chosen(asked, n, rows)
-        found = self.scores(asked, first, _times(rows, n)).unionByName(
-            self.scores(asked, rest, None))
+        others = (self.scores_in_place(asked, rest)
+                  if rows is not None and rows <= FEW_ROWS
+                  else self.scores(asked, rest, None))
+        found = self.scores(asked, first, _times(rows, n)).unionByName(others)
         return self.best(found, n).drop("r")
 
 

@@ -467,3 +467,20 @@ def test_a_fit_does_not_shuffle_rare_terms(spark):
         assert not counts.where("term like 'once%'").count()
     assert bow.BagOfNgrams.fit(df, max_df=1.0).vocabulary.count() == 19
     assert spark.range(1).select(ngrams.doc_count(df.union(df))).first()[0] == 30
+
+
+def test_index_scores_remaining_blocks_where_they_lie(spark, model, docs,
+                                                      monkeypatch):
+    indexed = dataclasses.replace(model, index=postings.PostingIndex.build(
+        model.weights, 2))
+    queries = docs.where("doc_id < 12").select(
+        F.col("doc_id").alias("query_id"), "text",
+        F.when(F.col("doc_id") % 3 == 0, "red").alias("category_filter"))
+    found = indexed.match(queries, top_n=2)
+    shown = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in shown.splitlines() if "hashpartitioning(" in x
+                and "term_idx" in x.split("hashpartitioning(")[1].split(
+                    ")")[0] and "block" in x]
+    here = sorted(found.collect(), key=str)
+    monkeypatch.setattr(postings, "FEW_ROWS", 0)
+    assert here == sorted(indexed.match(queries, top_n=2).collect(), key=str)
