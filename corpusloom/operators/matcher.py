@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import slabs
 from corpusloom.operators.centroid import SCORE_DIGITS
 from corpusloom.operators.common import (BROADCAST_ROWS, bounded, join_small,
                                          require_columns, top_rows)
@@ -115,7 +116,8 @@ def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
     """``(query_id, rank, doc_id, category, score)``.
 
     With an ``index`` pairs are made in the blocks that can hold a result only;
-    without one, for all documents that share a term. ``docs`` is ``(doc_id,
+    without one, all documents that share a term are scored, many queries slab
+    by slab and without rows for their pairs. ``docs`` is ``(doc_id,
     category)`` of the whole index. Score falling, later documents first on
     ties. Documents outside the filtered category, or without one, are not
     removed: they follow at -1.
@@ -129,8 +131,11 @@ def match(weights: DataFrame, docs: DataFrame, queries: DataFrame,
     if index is not None:
         hits = index.hits(asked, n, rows)
     else:
-        hits = top_rows(similarities(weights, asked, rows, sizes),
-                        ["query_id"], order, n, "r").drop("r")
+        # too many queries to be broadcast would make rows of nearly all pairs
+        found = (slabs.best_hits(weights, asked, docs, queries, n)
+                 if rows is None else
+                 similarities(weights, asked, rows, sizes))
+        hits = top_rows(found, ["query_id"], order, n, "r").drop("r")
     every = (hits.unionByName(_fillers(docs, queries, n))
              .groupBy("query_id", "doc_id", "category")
              .agg(F.max("score").alias("score")))

@@ -6,11 +6,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import (bow, matcher, ngrams, postings, preprocess,
-                                  profile, tfidf)
+                                  profile, slabs, tfidf)
 from corpusloom.operators.common import (NotFittedError, dense_index,
                                          require_columns)
 from corpusloom.plans.model import CorpusModel
@@ -484,3 +485,36 @@ def test_index_scores_remaining_blocks_where_they_lie(spark, model, docs,
     here = sorted(found.collect(), key=str)
     monkeypatch.setattr(postings, "FEW_ROWS", 0)
     assert here == sorted(indexed.match(queries, top_n=2).collect(), key=str)
+
+
+def test_many_queries_are_matched_in_slabs(spark, docs, rows, model,
+                                           monkeypatch):
+    # query 3 has a text for each of two filters; the last query shares nothing
+    asked = spark.createDataFrame(
+        [(i, rows[i][2], [None, "red", "grey", "none"][i % 4], 1 + i % 6)
+         for i in range(12)] + [(3, rows[20][2], None, 4),
+                                (3, rows[21][2], "blue", 4),
+                                (99, "nothing of it", None, 2)],
+        "query_id long, text string, category_filter string, top_n int")
+    want = model.match(asked)
+    monkeypatch.setattr(matcher, "BROADCAST_ROWS", 0)
+
+    def no_pairs(*args):
+        raise AssertionError("rows for all pairs that share a term")
+
+    monkeypatch.setattr(matcher, "similarities", no_pairs)
+    for per in (4, 1_000):
+        monkeypatch.setattr(slabs, "DOCS_PER_SLAB", per)
+        monkeypatch.setattr(slabs, "QUERIES_PER_BLOCK", per + 1)
+        assert sorted(model.match(asked).collect()) == sorted(want.collect())
+
+
+def test_parts_of_a_slab(monkeypatch):
+    monkeypatch.setattr(slabs, "CELLS", 6)
+    terms, weights = np.array([5, 9, 9, 5, 7]), np.arange(1.0, 6.0)
+    parts = slabs._laid_out(terms, weights, np.array([2, 1, 2]))
+    assert [(first, known.tolist(), cells.tolist())
+            for first, known, cells in parts] == [
+        (0, [5, 9], [[1.0, 0.0], [2.0, 3.0]]), (2, [5, 7], [[4.0], [5.0]])]
+    assert slabs._best(np.array([0.5, 0.0, 0.7, 0.5, 0.5]), 3).tolist() == [
+        2, 0, 3]
