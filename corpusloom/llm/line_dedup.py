@@ -32,6 +32,7 @@ SHORT, LONG = 6, 400  # words of the lines that meet on equal parts too
 THIRDS = 12           # words from which on a line has three parts, not two
 FAR = 20              # bits; lines that share but half their words are farther
 FILTER_WORDS = 1 << 19
+BLANKS = " \t\x0B\f\r"
 _LONG = 32_768  # words; counters of 16 bits hold less
 _BOUNDS = [64 * i // (DISTANCE + 2) for i in range(DISTANCE + 3)]
 
@@ -48,8 +49,12 @@ def _block_masks() -> list[int]:
 
 def normalised(line: Column) -> Column:
     """Lower case, runs of blanks as one space, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(
-        line, r"[\t\x0B\f\r ]{2,}|[\t\x0B\f\r]", " ")))
+    # most lines have none, and a plain search is much faster than the pattern
+    runs = F.contains(line, F.lit("  "))
+    for blank in BLANKS[1:]:
+        runs |= F.contains(line, F.lit(blank))
+    return F.lower(F.trim(F.when(runs, F.regexp_replace(
+        line, r"[\t\x0B\f\r ]{2,}|[\t\x0B\f\r]", " ")).otherwise(line)))
 
 
 def _counts(x: str, lanes: int) -> list[str]:
@@ -103,8 +108,10 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return (docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+        # a filter on the normalised line would normalise it once more
+        .where(F.btrim("line", F.lit(BLANKS)) != "")
         .select("row", "key", "line_no", normalised(F.col("line"))
-                .alias("norm")).where("norm <> ''")
+                .alias("norm"))
         .withColumn("hash", F.xxhash64("norm")))
 
 
@@ -152,10 +159,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str,
         F.max("norm").alias("norm"))
     texts = cut(texts.join(wanted, "hash"))
     most = _most_edits("length(ta)", "length(tb)", similarity)
+    # edits word by word are enough edits, and quickly counted; only if they
+    # are too many, or the words not as many, the least number is sought
+    by_words = ("aggregate(zip_with(split(ta, ' '), split(tb, ' '), (x, y) -> "
+                "if(x = y, 0, levenshtein(x, y))), 0, (n, d) -> n + d)")
     return cut(pairs.join(texts.toDF("a", "ta"), "a")
                .join(texts.toDF("b", "tb"), "b")
                .where(f"abs(length(ta) - length(tb)) <= {most}")
-               .where(f"levenshtein(ta, tb, {most}) >= 0")
+               .where(f"{by_words} <= {most} or "
+                      f"levenshtein(ta, tb, {most}) >= 0")
                .select("a", "b"))
 
 
