@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import (chat_format, exact_dedup, language_id, line_dedup,
-                            mixing, ngram_join, packing, registry, shingles,
+                            mixing, ngram_join, packing, registry, shared, shingles,
                             substring_dedup, tokenize, url_filter,
                             vector_dedup)
 from tests.compare import connect, differences
@@ -748,3 +749,42 @@ def test_close_lines_by_word_and_by_letter(spark):
         pairs, docs, "doc_id", "text", 0.9).collect()}
     # of 73 letters 7 may change: one letter, a lost blank, not 15 letters
     assert got == {ids[t] for t in texts[1:3]}
+
+
+def test_subsets_in_passes_and_sketches(spark):
+    """Crowds are linked in parts, with the links that one part gives, and
+    sketches of linked sets differ in few bits."""
+    rng, base = random.Random(3), list(range(1, 21))
+    sets = [sorted(rng.sample(base, 18) + [100 + i, 200 + i])
+            for i in range(20)] + [base[:18] + [50, i] for i in (51, 52, 53)]
+    df = spark.createDataFrame(
+        [(i, 20, s, [20]) for i, s in enumerate(sets)],
+        "same long, n int, shingles array<long>, sizes array<int>")
+    few = substring_dedup._by_subsets(df, 10**9)
+    many = substring_dedup._by_subsets(df, 1_500)
+    assert len(few) == 1 and len(many) == -(-23 * 190 // 1_500)
+    pairs = [{(r.a, r.b) for t in parts for r in t.collect()}
+             for parts in (few, many)]
+    assert pairs[0] == pairs[1] and {(20, 21), (20, 22)} <= pairs[0]
+    size, _, sketch = substring_dedup._smallest(np.array(
+        [base, base[:18] + [50, 51], base[:19] + [19]], np.uint64))
+    assert list(size) == [20, 20, 19]
+    assert int(sketch[0] ^ sketch[1]).bit_count() <= 4
+    assert int(sketch[0] ^ sketch[2]).bit_count() == 1
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager(
+        ).diskBlockManager()
+    had = disk.getAllBlocks().mkString(" ").count("shuffle_")
+    option = spark.conf.get(shared._CLEANUP, None)
+    kept = shared.cut(spark.range(1000).repartition(5, "id").groupBy(
+        "id").count())
+    for _ in range(50):  # they are removed behind the job
+        if (left := disk.getAllBlocks().mkString(" ").count(
+                "shuffle_")) <= had:
+            break
+        time.sleep(0.1)
+    assert left <= had and spark.conf.get(shared._CLEANUP, None) == option
+    assert kept.count() == 1000
+    shared.discard(kept)
