@@ -6,17 +6,24 @@ texts have, and to look for the phrase itself in what meets. Phrases from six
 characters on meet on 6-grams, which few other texts have; shorter ones on
 3-grams. Phrases below three characters have none; they come as one array to
 every row.
+
+A dictionary within MOST_PHRASES and MOST_CELLS goes to the tasks as a whole,
+and texts are looked up in place (`phrases.py`): no rows for n-grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import filled
-from corpusloom.operators.common import require_columns
+from corpusloom.operators.common import has_at_most, require_columns
+from corpusloom.operators.phrases import Phrases
 
 GRAM, LONG_GRAM = 3, 6
+# of a dictionary that each task holds: phrases, and those times the longest
+MOST_PHRASES, MOST_CELLS = 100_000, 1 << 23
 
 
 def with_grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -70,6 +77,43 @@ def candidates(texts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
             .distinct().drop("_row"))
 
 
+def _looked_up(df: DataFrame, phrases: DataFrame, key: str, text: str
+               ) -> DataFrame:
+    """``df`` with ``skills``, from few phrases that all tasks hold."""
+    long = F.char_length("phrase") >= GRAM
+    listed = [tuple(r) for r in phrases.select(
+        long, "place", "phrase").collect()]
+    known = Phrases([p for _, _, p in listed])
+
+    @F.arrow_udf("array<int>")
+    def look(texts: pa.Array) -> pa.Array:
+        return known.found(texts)
+
+    spark = df.sparkSession
+    kind = phrases.schema["place"].dataType.simpleString()
+    each = f"array<struct<long: boolean, place: {kind}, phrase: string>>"
+    names = spark.createDataFrame([(listed,)], f"names {each}").scalar()
+    # rows of one key give their phrases to each other, without a key to none
+    alike = Window.partitionBy(key, F.when(F.col(key).isNull(),
+                                           F.xxhash64("_own")))
+    own = F.col("_own")
+    every = F.when(F.size("_every") == F.size(own), own).otherwise(F.filter(
+        "_every", lambda i: F.array_contains(own, i)))
+    named = F.transform(every, lambda i: F.get(F.col("_names"), i))
+    short = F.transform(own, lambda i: F.get(F.col("_names"), i))
+    both = F.concat(
+        F.when(F.col(key).isNull(), F.array().cast(each)).otherwise(
+            F.filter(named, lambda p: p["long"])),
+        F.filter(short, lambda p: ~p["long"]))
+    found = F.transform(both, lambda p: F.struct(p["place"], p["phrase"]))
+    return (df.withColumn("_own", look(F.lower(filled(F.col(text)))))
+            .withColumn("_every", F.flatten(F.collect_list("_own").over(alike)))
+            .withColumn("_names", names)
+            .withColumn("skills", F.transform(F.array_sort(found),
+                                              lambda p: p["phrase"]))
+            .drop("_own", "_every", "_names"))
+
+
 def find_phrases(df: DataFrame, dim: DataFrame, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """Add ``skills``: the phrases contained in the lower-cased text.
@@ -83,6 +127,11 @@ def find_phrases(df: DataFrame, dim: DataFrame, key: str = "doc_id",
     require_columns(dim, "domain", "phrase", "place")
     # by key once: the steps below read that, on as many cores as there are
     df = df.repartition(key)
+    phrases = _phrases(dim)
+    n, longest = phrases.limit(MOST_PHRASES + 1).agg(
+        F.count(F.lit(1)), F.max(F.char_length("phrase"))).first()
+    if n <= MOST_PHRASES and n * (longest or 0) <= MOST_CELLS:
+        return _looked_up(df, phrases, key, text)
     texts = df.select(key, F.lower(filled(F.col(text))).alias("low"))
     met = candidates(texts, dim, key).groupBy(key).agg(
         F.collect_list(F.struct("place", "phrase")).alias("met"))
@@ -107,9 +156,13 @@ def group_phrases(found: DataFrame, dim: DataFrame, key: str = "doc_id"
     ``skills``, and one of two domains stands in both.
     """
     require_columns(found, key, "skills")
+    # lists by text and domain, and by text, are then made where the texts lie
+    found = found.repartition(key)
     first = dim.groupBy("domain").agg(F.min("place").alias("of_domain"))
     member = (dim.where(F.col("phrase").isNotNull())
               .select("domain", "phrase").distinct().join(first, "domain"))
+    if has_at_most(dim, MOST_PHRASES):
+        member = F.broadcast(member)
     label = F.initcap(F.replace("domain", F.lit("_"), F.lit(" ")))
     groups = (found.select(key, F.posexplode("skills").alias("at", "phrase"))
               .join(member, "phrase").groupBy(key, "domain", "of_domain")

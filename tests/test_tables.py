@@ -281,3 +281,25 @@ def test_grams_are_made_without_patterns(spark):
         text[i:i + n] for n in (3, 6) for i in range(len(text) - n + 1))
     assert "regexp" not in rows._jdf.queryExecution().optimizedPlan(
         ).toString()
+
+
+@pytest.mark.parametrize("most", [dictionary.MOST_PHRASES, 0])
+def test_few_phrases_are_looked_up_in_place(spark, monkeypatch, most):
+    """The same rows with and without rows for n-grams, also where keys repeat
+    or are missing; without, texts meet no n-grams in a join."""
+    monkeypatch.setattr(dictionary, "MOST_PHRASES", most)
+    dim = spark.createDataFrame(
+        [("d", "quixotic", 5), ("e", "the", 1), ("d", "x", 0), ("e", "ixo", 3),
+         ("d", "the quixotic knight", 4), ("e", "quixotic", 2), ("e", "", 9),
+         ("e", None, 8)], "domain string, phrase string, place int")
+    texts = [(1, "The QUIXOTIC knight"), (2, "the"), (2, "the"), (3, None),
+             (None, "the x"), (4, "quixoti"), (5, "é" * 70_000 + "quixotic")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = dictionary.find_phrases(df, dim)
+    got = sorted(((r.doc_id, r.skills) for r in found.collect()), key=str)
+    assert got == sorted([
+        (1, ["x", "the", "quixotic", "ixo", "the quixotic knight", ""]),
+        (2, ["the", "the", ""]), (2, ["the", "the", ""]), (3, [""]),
+        (None, ["x", ""]), (4, ["x", "ixo", ""]),
+        (5, ["x", "quixotic", "ixo", ""])], key=str)
+    assert ("gram" in plan(found)) == (most == 0)
